@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import op7_bpe, op8_quality
+from . import op1_itq, op2_toxicity, op4_simhash, op7_bpe, op8_quality
 
 QUERIES = {
+    "op1_itq": op1_itq.op1_itq,
+    "op2_toxicity": op2_toxicity.op2_toxicity,
+    "op4_simhash": op4_simhash.op4_simhash,
     "op7_bpe": op7_bpe.op7_bpe,
     "op8_quality": op8_quality.op8_quality,
 }
