@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_itq, op2_toxicity, op4_simhash, op7_bpe, op8_quality
+from . import op1_itq, op2_toxicity, op4_simhash, op7_bpe, op8_quality, op9_html
 
 QUERIES = {
     "op1_itq": op1_itq.op1_itq,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": op4_simhash.op4_simhash,
     "op7_bpe": op7_bpe.op7_bpe,
     "op8_quality": op8_quality.op8_quality,
+    "op9_html": op9_html.op9_html,
 }
 ORACLES = {
     "op8_quality": op8_quality.SQL,
