@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_itq, op2_toxicity, op4_simhash, op7_bpe, op8_quality, op9_html
+from . import op1_itq, op2_toxicity, op4_simhash, op6_packing, op7_bpe, op8_quality, op9_html
 
 QUERIES = {
     "op1_itq": op1_itq.op1_itq,
     "op2_toxicity": op2_toxicity.op2_toxicity,
     "op4_simhash": op4_simhash.op4_simhash,
+    "op6_packing": op6_packing.op6_packing,
     "op7_bpe": op7_bpe.op7_bpe,
     "op8_quality": op8_quality.op8_quality,
     "op9_html": op9_html.op9_html,
