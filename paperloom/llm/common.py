@@ -136,7 +136,7 @@ def grouped_batches(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node that links reach.
+    """(node, root) for every node of ``edges`` (a, b) but the roots themselves: root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each one written to the shared folder. Rounds
     grow as the logarithm of the longest chain. A node of high degree is aggregated by min() with map-side combining

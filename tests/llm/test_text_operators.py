@@ -1,0 +1,302 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from paperloom.llm import op2_toxicity, op3_tokens, op5_pii, op6_packing, op7_bpe, op8_quality, op9_html, op10_secrets
+from paperloom.llm.common import vocabulary
+from tests.conftest import comparable, oracle_rows
+
+
+def mixed_texts(n, seed=1):
+    r = random.Random(seed)
+    bits = ["a", "the", " ", "  ", "é", "漢", "🙂", "\n", "\t", "ion", "x", "z1", "ß", "'s", "'ll", "12", "!!", "<|endoftext|>", "THE,", "ц", " ", "\x85", "é", "«", ".", "Ω"]
+    return ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def test_bpe_ids_are_those_of_the_library():
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    ranks = op7_bpe.load_ranks(vocabulary(op7_bpe.VOCABULARY))
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = op7_bpe.Codec(vocabulary(op7_bpe.VOCABULARY), PATTERN, most=50)
+    for t in [*mixed_texts(300), "x" * 3000, "ab" * 2000, "aaaaaaa" * 300]:
+        ids = np.frombuffer(codec.ids_bytes(t), "<u4").tolist()
+        assert ids == library.encode_ordinary(t)
+        assert codec.decode(np.array(ids, "<u4").tobytes()) == t.encode()
+
+
+def test_bpe_rows(odd_docs, no_docs):
+    rows = op7_bpe.encode(odd_docs, keep_ids=True).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(rows) == odd_docs.count() and all(len(r.ids) == r.n_tokens for r in rows)
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows if r.doc_id in (0, 1)] == [(0, empty, empty)] * 2
+    assert op7_bpe.encode(no_docs).count() == 0
+
+
+def test_token_counts_are_those_of_the_library(odd_docs, no_docs):
+    from tokenizers import Tokenizer, models
+
+    pieces, has_bytes = op3_tokens.read_vocabulary(vocabulary(op3_tokens.VOCABULARY))
+    low = min(s for _, s in pieces)
+    library = Tokenizer(models.Unigram([("<unk>", low)] + [(f"<0x{i:02X}>", low) for i in range(256)] + pieces, unk_id=0, byte_fallback=True))
+    counter = op3_tokens.Counter(pieces, has_bytes, most=40)
+    for t in mixed_texts(300):
+        want = len(library.encode("▁" + t.replace(" ", "▁")).ids) if t else 0
+        assert counter(t)[0] == want, t
+    rows = {r.doc_id: r.n_tokens for r in op3_tokens.token_counts(odd_docs).collect()}
+    assert rows[0] == rows[1] == 0 and op3_tokens.token_counts(odd_docs).count() == odd_docs.count()
+    assert op3_tokens.token_counts(no_docs).count() == 0
+
+
+def test_ties_go_to_the_piece_that_starts_first():
+    c = op3_tokens.Counter([("a", -1.0), ("aa", -2.0), ("▁", -1.0), ("aaa", -3.0), ("▁a", -2.0)], True)
+    assert c("aaa") == (2, 0)  # ▁a aa or ▁ aaa, both -4: at the end, aaa starts first
+    assert c("b") == (2, 1)
+
+
+def test_unknown_run_is_one_piece_without_bytes():
+    c = op3_tokens.Counter([("a", -1.0), ("▁", -1.0)], False)
+    assert c("abba") == (4, 2)
+
+
+def test_packing_cuts_every_document_once(spark, odd_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(op6_packing.VOCABULARY))
+    texts = [None, "", *mixed_texts(60, 2), "word " * 30_000, "one two three. " * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = op6_packing.pack(docs).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    padding = total = 0
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        total += at
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding == 0 and total == sum(r.length for r in rows)
+    assert op6_packing.pack(odd_docs).agg({"doc_tokens": "max"}).first()[0] > 30_000
+    assert op6_packing.pack(no_docs).count() == 0
+
+
+def test_packing_in_small_chunks(monkeypatch):
+    monkeypatch.setattr(op6_packing, "CHUNK", 20_000)
+    r = random.Random(4)
+    p, n = op6_packing.Packer(5), 0
+    for i in range(400):
+        k = r.choice([1, 3, 64, 700, 2047, 2048, 5000, r.randint(1, 3000)])
+        p.add(i, np.arange(k, dtype=np.uint32))
+        n += k
+    p.flush(True)
+    assert sum(x[2] for x in p.rows) == n and not p.pieces
+    size = {}
+    for x in p.rows:
+        size[x[5]] = size.get(x[5], 0) + x[2]
+    assert all(k & (k - 1) == 0 for k in size.values()) and min(size) == 5
+
+
+def test_least_squares_counts_fit_the_histogram():
+    a = op6_packing.combinations()
+    x = np.zeros(a.shape[1])
+    x[[3, 70, 200]] = 5, 9, 2
+    b = a @ x
+    y = op6_packing.nnls(a, b)
+    assert (y >= 0).all() and np.allclose(a @ y, b, atol=1e-6)
+    used = sum(need * k for need, k in op6_packing.plan(b.astype(int)))
+    assert (used <= b).all() and used.sum() >= 0.6 * b.sum()
+
+
+def test_quality_matches_sql_and_odd_rows(spark, sf, odd_docs, no_docs):
+    got = op8_quality.op8_quality(spark, sf).toPandas()
+    assert comparable(got) == comparable(oracle_rows(op8_quality.SQL, sf))
+    rows = {r.doc_id: r for r in op8_quality.quality(odd_docs).collect()}
+    assert rows[0].n_words == 0 and rows[0].base_failed and not rows[0].kept
+    assert rows[7].n_repeat_words == 5 and rows[8].word_chars == 7
+    assert op8_quality.quality(odd_docs).count() == odd_docs.count() and op8_quality.quality(no_docs).count() == 0
+    assert op8_quality.keep_good(odd_docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_quality_measures_against_a_plain_count():
+    r = random.Random(8)
+    h = op8_quality.Hasher(most=5)
+    for _ in range(200):
+        words = [r.choice("abcde") for _ in range(r.randint(0, 40))]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        assert op8_quality.measures(" ".join(words).encode(), h)[4] == len(inside)
+
+
+def test_toxicity_learns_and_scores_odd_rows(spark, odd_docs, no_docs):
+    r = random.Random(6)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for i in range(600):
+        words = [r.choice(pool) for _ in range(r.randint(5, 60))]
+        if i % 4 == 0:
+            words.insert(r.randrange(len(words)), "vex" + r.choice("klmno") + r.choice(["y", "ies", "ing", "al"]))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y, None) for i, _, y in rows] + [(99_999, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    model = op2_toxicity.fit(docs, labels)
+    got = op2_toxicity.score(docs, model).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in got)
+    right = sum(r.predicted == rows[r.doc_id][2] for r in held)
+    assert len(held) > 50 and right >= 0.9 * len(held)
+    odd = op2_toxicity.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd) and all(r.predicted == 0 for r in odd if r.doc_id in (0, 1, 2))
+    assert op2_toxicity.score(no_docs, model).count() == 0
+    none = op2_toxicity.fit(no_docs, labels)
+    assert none is None and {r.score for r in op2_toxicity.score(odd_docs, none).collect()} == {0.1}
+    assert op2_toxicity.keep_clean(odd_docs, none).count() == odd_docs.count()
+
+
+def test_toxicity_pieces_give_the_score_of_the_whole(monkeypatch):
+    r = random.Random(2)
+    rows = [(i % 5, " ".join(r.choice(["ab", "cd", "ef", "gh", "bad" if i % 2 else "ok"]) for _ in range(30)).encode(), i % 2) for i in range(60)]
+    model = op2_toxicity.train(rows)
+    text = b" ".join(t for _, t, _ in rows)
+    whole = op2_toxicity._scores(model, [text], op2_toxicity.Words())
+    monkeypatch.setattr(op2_toxicity, "PIECE_WORDS", 17)
+    assert np.allclose(whole, op2_toxicity._scores(model, [text], op2_toxicity.Words(most=3)))
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(int(c) for c in reversed(s) if c.isdigit())) % 10 == 0
+
+
+def test_surrogates_keep_type_and_identity(spark, odd_docs, no_docs):
+    texts = [
+        "write Anna.Bell@mail.example.org or anna.bell@MAIL.example.org, not bob@mail.example.org",
+        "card 4111 1111 1111 1111 or 4111-1111-1111-1111; order 4111111111111112",
+        "call +1 (672) 555-8657 or +1 672 555 8657 today",
+        "from 58.31.209.216 to 58.31.209.217, version 1.2.3.4.5",
+        "Mrs Mary Jones, Mr. James Jones and Мария Иванова",
+        "pay GB82 WEST 1234 5698 7654 32; ssn 123-45-6789",
+        "plain words, 12 numbers 2024-01-02 and 3.14",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in op5_pii.replace_pii(docs, "k").collect()}
+    again = {r.doc_id: r.text for r in op5_pii.replace_pii(docs.repartition(5), "k").collect()}
+    assert again == {k: r.text for k, r in got.items()} != {r.doc_id: r.text for r in op5_pii.replace_pii(docs, "other").collect()}
+    mails = [w.strip(",") for w in got[0].text.split() if "@" in w]
+    assert mails[0].lower() == mails[1].lower() != mails[2].lower() and mails[0][0].isupper() and not {"anna", "bell", "bob"} & set(got[0].text.lower().replace("@", ".").split("."))
+    cards = got[1].text.split(" ", 1)[1].split(";")[0].split(" or ")
+    assert cards[0].replace(" ", "") == cards[1].replace("-", "") and luhn(cards[0]) and cards[0][0] == "4" and "4111111111111112" in got[1].text
+    phones = got[2].text[5:-6].split(" or ")
+    assert [c for c in phones[0] if c.isdigit()] == [c for c in phones[1] if c.isdigit()] and phones[0].startswith("+1 (") and "672" not in phones[0]
+    ips = got[3].text.split(",")[0].split()[1::2]
+    assert len({*ips, "58.31.209.216", "58.31.209.217"}) == 4 and all(0 <= int(x) < 256 for ip in ips for x in ip.split(".")) and "1.2.3.4.5" in got[3].text
+    names = op5_pii.FIRST_NAMES
+    w = got[4].text.replace(",", "").split()
+    assert w[0] == "Mrs" and w[1] in names["latin", "f"].split() and w[1] != "Mary" and w[4] in names["latin", "m"].split() and w[2] == w[5] != "Jones"
+    assert w[7] in names["cyrillic", "f"].split() and w[8] != "Иванова" and all("а" <= c.lower() <= "ё" for c in w[8])
+    assert got[5].kinds == "iban,ssn" and got[5].text.startswith("pay GB") and "123-" in got[5].text and "45-6789" not in got[5].text
+    iban = got[5].text[4:].split(";")[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[6].text == texts[6] and got[6].n_entities == 0
+    odd = op5_pii.replace_pii(odd_docs).collect()
+    assert len(odd) == odd_docs.count() and {r.text for r in odd if r.doc_id == 0} == {None} and {r.n_entities for r in odd if r.doc_id == 11} == {1}
+    assert op5_pii.replace_pii(no_docs).count() == 0
+    assert op5_pii.without_pii(odd_docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_surrogates_against_a_plain_feistel(spark):
+    """The expression and a loop in Python agree; distinct entities stay distinct."""
+    def brute(tokens, kind, key):
+        half = len(tokens) // 2
+        left, right = tokens[:half], tokens[half:]
+        for i in range(op5_pii.ROUNDS):
+            stream = hashlib.sha512("|".join([key, kind, str(i), ",".join(right)]).encode()).hexdigest()
+            new = []
+            for j, t in enumerate(left):
+                k = int(stream[j % 42 * 3 : j % 42 * 3 + 3], 16)
+                for alphabet in ([*op5_pii.PHONE_DIGITS] if kind == "phone" else []) + op5_pii.ALPHABETS:
+                    if t in alphabet:
+                        t = alphabet[(alphabet.index(t) + k) % len(alphabet)]
+                        break
+                new.append(t)
+            left, right = right, new
+        return left + right
+
+    r = random.Random(3)
+    rows = [("".join(r.choice("abcxyz0189éж") for _ in range(r.randint(1, 70))), k) for _ in range(150) for k in ("email", "phone")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "s string, kind string")
+    got = df.select("s", "kind", op5_pii.feistel(op5_pii._chars(F.col("s")), F.col("kind"), "key").alias("t")).collect()
+    for x in got:
+        assert x.t == brute(list(x.s), x.kind, "key")
+    assert len({("".join(x.t), x.kind) for x in got}) == len(set(rows))
+
+
+def test_a_collision_would_change_the_nonce(spark, monkeypatch):
+    docs = spark.createDataFrame([("a@b.org c@d.org",)], "text string")
+    assert op5_pii.checked_key(docs, "k") == "k#0"
+    real = op5_pii.collisions
+    monkeypatch.setattr(op5_pii, "collisions", lambda d, key: real(d, key) if key.endswith("#1") else spark.range(1))
+    assert op5_pii.checked_key(docs, "k") == "k#1"
+
+
+def test_main_text_of_labelled_pages():
+    w = op9_html.learn()
+    pages = op9_html.labelled_pages(200, seed=41)
+    right = sum(op9_html.region(p, w) == "\n\n".join(t) for p, t in pages)
+    assert right >= 0.93 * len(pages)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("", ""),
+        ("<p>", ""),
+        ("<html><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One<br>two &nbsp; three<p>Four <b>bo</b>ld</article><footer>x</footer>", "A & B\n\nOne two three\n\nFour bold"),
+        ("<article><header><h1>Title of it</h1></header><p>Some words of the text.</p><aside>see also</aside><p>More words.</p><section class='comments'><p>First! I liked it a lot.</p></section></article>", "Title of it\n\nSome words of the text.\n\nMore words."),
+        ("<body class='has-sidebar'><div class='cookie-notice'>We use cookies here</div><main><h2>Head</h2><form><label>Name</label><input></form><p>Body text stands here.</p><script>var t='</p>';</script></main><div class='sidebar'><p>Popular posts of the week</p></div></body>", "Head\n\nBody text stands here."),
+    ],
+)
+def test_main_text_of_small_pages(html, text):
+    assert op9_html.region(html, op9_html.learn()) == text
+
+
+def test_main_text_rows(spark):
+    rows = [(1, None, None), (None, "u", "<article><p>Hello there world</p></article>"), (1, None, None), (2, "v", "")]
+    pages = spark.createDataFrame([(*r, 5) for r in rows], "page_id long, url string, html string, n_chars long")
+    got = op9_html.main_text(pages).collect()
+    assert len(got) == 4 and [(r.text, r.n_chars) for r in got if r.page_id is None] == [("Hello there world", 17)] and {r.text for r in got if r.page_id} == {""}
+    assert op9_html.main_text(pages.limit(0)).count() == 0
+
+
+def test_forest_tells_secrets_from_look_alikes(odd_docs, no_docs):
+    rows = op10_secrets.labelled_findings(600, seed=123)
+    s = op10_secrets.forest().score(np.array([op10_secrets.features(*r[:5]) for r in rows]))
+    assert np.mean((s >= 0.5) == np.array([r[5] for r in rows])) >= 0.97
+    assert op10_secrets.secrets(no_docs).count() == 0
+    assert {r.doc_id for r in op10_secrets.secrets(odd_docs).collect()} <= {None, *range(12)}
+
+
+def test_secret_offsets_and_verdicts(spark):
+    key, digest = "AKIA" + "Q7ZK3M9P2X5R8T1V", "3f786850e387550fdab836ed7e6dc881de23001b"
+    text = f"é🙂 key {key} and commit {digest} then password=9f8e7d6c5b4a39281706 end"
+    docs = spark.createDataFrame([(1, text, None), (1, text, None), (2, None, "s")], "doc_id long, text string, source string")
+    got = op10_secrets.secrets(docs).collect()
+    assert len(got) == 6
+    by = {text[r.start : r.end]: r for r in got}
+    assert by[key].is_secret and by["9f8e7d6c5b4a39281706"].is_secret and not by[digest].is_secret
+    assert by[key].secret_sha256 == hashlib.sha256(key.encode()).hexdigest()
