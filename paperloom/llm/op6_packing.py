@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,16 @@ from .common import as_bytes, ship, spread, table, vocabulary
 VOCABULARY, END = "word_bpe_49k.json", 1
 WINDOW, UNIT, DEPTH = 2048, 64, 4
 CHUNK = 1 << 21
+#: The vocabulary lowers case itself; lowered early, fewer distinct words are looked up. Its special tokens hold "<|" and are left alone.
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
     """Token ids of whole texts. Words are cut at ASCII white space, which no token of this vocabulary spans, and kept in a table emptied at ``most`` words."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,31 +54,46 @@ class Ids:
         self.size = np.empty(1 << 16, np.int64)
         self.end = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Add what is not known. A word that ends in ASCII punctuation after an ASCII letter or digit is its two parts, which the vocabulary never merges."""
+        new = {*words}.difference(self.row)
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        total, at = sum(map(len, found)), len(self.row)
+        parts = {}
+        for w in new:
+            if w[-1] in _PUNCTUATION and b"<|" not in w:
+                base = w.rstrip(_PUNCTUATION)
+                if base and base[-1] < 0x80:
+                    parts[w] = base, w[len(base) :]
+        whole = [*(new.difference(parts) | {*chain.from_iterable(parts.values())}.difference(self.row))]
+        if whole:
+            self._append(whole, [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)])
+        if parts:
+            row, start, size, flat = self.row, self.start, self.size, self.flat
+            ends = [(row[a], row[z]) for a, z in parts.values()]
+            self._append([*parts], [[*flat[start[i] : start[i] + size[i]].tolist(), *flat[start[j] : start[j] + size[j]].tolist()] for i, j in ends])
+
+    def _append(self, new: list[bytes], found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total, at = int(sizes.sum()), len(self.row)
         while self.end + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while at + len(new) > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.size[at : at + len(new)] = sizes
         self.start[at : at + len(new)] = self.end + np.cumsum(sizes) - sizes
-        self.flat[self.end : self.end + total] = np.fromiter((i for f in found for i in f), np.uint32, total)
+        self.flat[self.end : self.end + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.end += total
         self.row.update(zip(new, range(at, at + len(new))))
 
     def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end token."""
         for i in range(0, len(texts), 256):
-            words = [t.split() for t in texts[i : i + 256]]
+            words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts[i : i + 256]]
             if len(self.row) > self.most:
                 self.reset()
-            self.learn([w for ws in words for w in ws])
+            self.learn(chain.from_iterable(words))
             for ws in words:
                 row = np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws))
                 size = self.size[row]
