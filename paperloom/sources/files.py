@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,10 +26,19 @@ IMAGES = [e for e in EXTENSIONS if e in (".png", ".jpg", ".jpeg", ".tif", ".tiff
 
 
 def read_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Files of a folder with a known extension. Sizes are in the listing, so larger ones are never opened."""
+    """Files of a folder with a known extension. Spark's reader leaves out files of no bytes; the listing adds them."""
     pattern = "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}"
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folder)
+    found = reader.load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive)
+    empty = []
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath().toString()
+        if status.getLen() == 0 and any(path.lower().endswith(e) for e in EXTENSIONS):
+            empty.append((path, datetime.fromtimestamp(status.getModificationTime() / 1000), 0, bytearray()))
+    return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
 
 
 def extension(path: Column) -> Column:
@@ -151,7 +161,7 @@ def docx_blocks(items: DataFrame) -> DataFrame:
     record = F.col("text").rlike(text.RECORD_LIKE)
     level = F.when(level.isNull() & number.isNotNull() & (F.length("text") <= 140) & F.col("bold") & ~record & ~F.col("numbered"), number).otherwise(level)
     level = F.when(level.isNotNull() & number.isNotNull(), number).otherwise(level)
-    level = F.when(F.col("numbered") & (record | level.isNull()), None).otherwise(F.greatest(F.lit(1), F.least(level, F.lit(6))))
+    level = F.when(level.isNotNull() & ~(F.col("numbered") & record), F.greatest(F.lit(1), F.least(level, F.lit(6))))
     listed = F.col("numbered") | style.contains("list")
     kind = F.when(F.col("kind") == "table", "table").when(code, "code").when(level.isNotNull(), "heading").when(listed, "list_item").otherwise("paragraph")
     df = items.where("kind = 'table' or trim(text) <> ''")

@@ -23,7 +23,7 @@ GRAPH_SCHEMA = (
 
 def read_graphs(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file: doc_id (its path) and the document graph; a file that is not such a graph has nulls."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("doc_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value")
     return files.select("doc_id", F.from_json("value", GRAPH_SCHEMA, {"mode": "PERMISSIVE"}).alias("g")).select("doc_id", "g.*")
 
 
