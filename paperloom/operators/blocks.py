@@ -120,10 +120,9 @@ def insert_pictures(blocks: DataFrame, pictures: DataFrame) -> DataFrame:
 
     ``pictures``: doc_id, pic_idx, ref, parent_ref, asset_uri. Adds anchor_matched for pictures.
     """
-    anchors = blocks.select("doc_id", "ord", F.explode("refs").alias("parent_ref")).groupBy("doc_id", "parent_ref").agg(F.min("ord").alias("_at"))
+    anchors = blocks.select("doc_id", "ord", "section_path", F.explode("refs").alias("parent_ref")).groupBy("doc_id", "parent_ref").agg(F.min("ord").alias("_at"), F.min_by("section_path", "ord").alias("section_path"))
     pics = pictures.join(anchors, ["doc_id", "parent_ref"], "left").withColumn("anchor_matched", F.col("_at").isNotNull())
-    sections = blocks.select("doc_id", F.col("ord").alias("_at"), "section_path")
-    pics = pics.join(sections, ["doc_id", "_at"], "left").select(
+    pics = pics.select(
         "doc_id", F.coalesce(F.col("_at").cast("long"), F.lit((1 << 62))).alias("_a"), (F.col("pic_idx") + 1).alias("_b"), F.lit("picture").alias("block_type"), F.lit("").alias("text"), F.array("ref").alias("refs"), "asset_uri", "section_path", "anchor_matched"
     )
     out = blocks.withColumns({"_a": F.col("ord").cast("long"), "_b": F.lit(0)}).unionByName(pics, allowMissingColumns=True)

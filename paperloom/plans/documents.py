@@ -12,11 +12,12 @@ from ..operators import chunks as C
 from ..operators import integrity
 from ..sources import readers
 from . import gates
+from .stage import staged
 
 
 @dataclass
 class Outputs:
-    """Lazy results of a run; nothing has been computed yet."""
+    """Results of a run: blocks and findings are staged tables, the others lazy plans over them."""
 
     blocks: DataFrame
     findings: DataFrame | None
@@ -30,7 +31,7 @@ class Outputs:
 
 def _finish(documents: DataFrame, blocks: DataFrame, findings: DataFrame, records: DataFrame, results: DataFrame | None, limit: int) -> Outputs:
     spark = documents.sparkSession
-    blocks = B.numbered(B.attach_findings(blocks, findings))
+    blocks = staged(B.numbered(B.attach_findings(blocks, findings)), "blocks")
     cand = B.candidates(blocks, findings, records)
     if results is None:
         results = spark.createDataFrame([], "doc_id string, candidate_id string, status string")
@@ -55,10 +56,12 @@ def run_graphs(graphs: DataFrame, results: DataFrame | None = None, limit: int =
     """Document graphs (readers.read_graphs) through reading order, typing, table integrity, pictures, chunks and gates."""
     order = B.reading_order(readers.graph_edges(graphs))
     items = readers.graph_items(graphs).join(order, ["doc_id", "ref"]).withColumn("ord", F.row_number().over(B.scans.ordered("doc_id", "path")) - 1)
-    snaps = integrity.snapshots(readers.graph_tables(graphs), readers.graph_cells(graphs))
+    items = staged(items, "items")
+    snaps = staged(integrity.snapshots(readers.graph_tables(graphs), readers.graph_cells(graphs)), "tables")
     found = integrity.analyze(snaps)
     refs = snaps.select("doc_id", F.col("table_idx").alias("t"), "ref")
     findings = found.select("*", F.explode("tables").alias("t")).join(refs, ["doc_id", "t"]).withColumn("message", F.col("category")).drop("t")
+    findings = staged(findings, "findings")
     texts = B.typed(items.where("kind = 'text'")).withColumn("refs", F.array("ref"))
     grid = integrity.grid(readers.graph_cells(graphs), expand_spans=False)
     rows = grid.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(F.struct("row", "values", "is_header"))).alias("g"))
@@ -70,7 +73,7 @@ def run_graphs(graphs: DataFrame, results: DataFrame | None = None, limit: int =
     tables = items.where("kind = 'table'").join(refs.withColumnRenamed("t", "table_idx"), ["doc_id", "ref"]).join(rows, ["doc_id", "table_idx"], "left").drop("table_idx")
     tables = tables.withColumns({"block_type": F.lit("table"), "refs": F.array("ref"), "integrity_status": F.lit("verified"), "reasons": F.array().cast("array<string>")})
     blocks = B.coalesce_code(texts.unionByName(tables, allowMissingColumns=True))
-    blocks = B.with_sections(blocks)
+    blocks = staged(B.with_sections(blocks), "sections")
     pics = graphs.select("doc_id", F.posexplode("pictures").alias("pic_idx", "i")).select("doc_id", "pic_idx", F.col("i.self_ref").alias("ref"), F.col("i.parent")["$ref"].alias("parent_ref"), F.col("i.image.uri").alias("asset_uri"))
     blocks = B.insert_pictures(blocks, pics)
     records = graphs.sparkSession.createDataFrame([], "doc_id string, asset_uri string, text string")
