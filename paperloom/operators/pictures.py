@@ -88,3 +88,32 @@ def inject_text(lines: DataFrame, records: DataFrame, title: str = "## Extracted
     out = lines.select("doc_id", F.col("line_no").alias("_a"), F.lit(0).alias("_b"), "line").unionByName(placed).unionByName(heads)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("_a", "_b")) - 1
     return out.select("doc_id", turn.alias("line_no"), "line")
+
+
+def inject_warnings(lines: DataFrame, coverage_: DataFrame) -> DataFrame:
+    """Lines with a warning after the first image line of each qualifying picture whose text is missing or unsure.
+
+    ``coverage_``: doc_id, pic_idx, asset_uri, qualifying, coverage_status. Pictures that no line shows are left out.
+    """
+    open_ = coverage_.where(F.col("qualifying") & ~F.col("coverage_status").isin("structured_text"))
+    uri = F.regexp_extract("line", r"!\[[^\]]*\]\(([^)]*)\)", 1)
+    first = lines.select("doc_id", "line_no", F.nullif(uri, F.lit("")).alias("asset_uri")).where("asset_uri is not null").groupBy("doc_id", "asset_uri").agg(F.min("line_no").alias("_a"))
+    warned = open_.join(first, ["doc_id", "asset_uri"]).select("doc_id", "_a", (F.col("pic_idx") + 1).alias("_b"), F.concat(F.lit("> **Review required:** picture text is "), "coverage_status").alias("line"))
+    out = lines.select("doc_id", F.col("line_no").alias("_a"), F.lit(0).alias("_b"), "line").unionByName(warned)
+    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_a", "_b")) - 1).alias("line_no"), "line")
+
+
+def child_items(pictures: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, pic_idx, pos, ref, label, text, level): texts inside pictures, without page furniture; levels at most the picture's ceiling.
+
+    ``pictures``: doc_id, pic_idx, children, heading_ceiling.
+    """
+    c = pictures.select("doc_id", "pic_idx", "heading_ceiling", F.posexplode("children").alias("pos", "ref"))
+    df = c.join(items.where("label not in ('page_header', 'page_footer')"), ["doc_id", "ref"])
+    return df.select("doc_id", "pic_idx", "pos", "ref", "label", "text", F.when(F.col("level").isNotNull(), F.greatest(F.col("level"), F.coalesce("heading_ceiling", "level"))).alias("level"))
+
+
+def source_refs(picture_ref: Column, context: Column, items: Column, asset_uri: Column) -> Column:
+    """The picture, then its context and items, each once, in order; the asset where there is no reference."""
+    refs = F.array_distinct(F.filter(F.concat(F.array(picture_ref), F.coalesce(context, F.array().cast("array<string>")), F.coalesce(items, F.array().cast("array<string>"))), lambda x: x.isNotNull()))
+    return F.when(F.size(refs) > 0, refs).otherwise(F.filter(F.array(asset_uri), lambda x: x.isNotNull()))
