@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Labels that are never headings when they carry a bullet or a colon.
-FIELD_LABELS = ["width", "depth", "range", "claim", "status", "date"]
-CODE_START = r"(?i)^\s*(?:#|//|/\*|```|apiVersion\s*:|kind\s*:|services\s*:|pipeline\s*\{|stages?\s*\{|node\s*\{|FROM\s+|kubectl\s+|docker\s+)"
-YAML_KEY = r"^\s*(?:[-?]\s+)?[A-Za-z_][\w.-]*\s*:"
-RECORD_LIKE = r"(?i)(?:\bmust\b|\bshall\b|\bshould\b|\brequired\b|\bUNIQUE\b|\bINDEX\b|\bFOREIGN\s+KEY\b|\bNOT\s+NULL\b|\bCHECK\b|^[A-Za-z][\w]*_[A-Za-z][\w]*)"
-NUMBERED = r"^\s*(\d+(?:\.\d+){0,5})\.?\s+(.+)$"
-RESIDUE = ["aay", "aoe", "aee", "caan", "cea", "eee", "gee", "geel", "gere", "ieee", "saag"]
+FIELD_LABELS = "claim date depth range status width".split()
+#: How source code begins: a comment or fence, a key of a manifest, an opened block, a command.
+CODE_START = rf"(?i)^\s*(?:{'|'.join(['```', '/[/*]', '#'])}|(?:{'|'.join('services kind apiVersion'.split())})\s*:|(?:{'|'.join('node pipeline stages?'.split())})\s*\{{|(?:{'|'.join('docker kubectl from'.split())})\s+)"
+YAML_KEY = r"^\s*([?-]\s+)?[_a-zA-Z][\w.\-]*\s*:"
+#: Words of requirements and of table definitions, and snake-case names at the start.
+RECORD_LIKE = rf"(?i)(?:\b(?:{'|'.join('check index required shall should must unique'.split())}|not\s+null|foreign\s+key)\b|^[a-z]\w*_[a-z]\w*)"
+NUMBERED = r"^\s*(\d+(?:[.]\d+){0,5})[.]?\s+(.+)$"
+RESIDUE = "saag ieee gere geel gee eee cea caan aee aoe aay".split()
 MAX_LEVEL = 6
 
 
@@ -51,7 +53,7 @@ def word_count(c: Column) -> Column:
 
 
 def looks_like_date(c: Column) -> Column:
-    return c.rlike(r"^\d{1,2}[-/][A-Za-z]{3,9}[-/]\d{2,4}$") | c.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$")
+    return c.rlike(r"^\d\d?[/-][a-zA-Z]{3,9}[/-]\d{2,4}$") | c.rlike(r"^\d{4}[/-]\d\d?[/-]\d\d?$")
 
 
 def is_false_sentence_heading(c: Column) -> Column:
@@ -75,7 +77,7 @@ def normalize_sentence(c: Column) -> Column:
 
 def numbered_heading(c: Column) -> Column:
     """Markdown heading of a numbered title, its level one more than its number's parts; null for anything else."""
-    at = r"^(\d+(?:\.\d+)*)(\.?)\s+(.+)$"
+    at = r"^(\d+(?:[.]\d+)*)([.]?)\s+(.+)$"
     number = F.regexp_extract(c, at, 1)
     level = F.least(F.size(F.split(number, r"\.")) + 1, F.lit(MAX_LEVEL))
     text = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), number, F.regexp_extract(c, at, 2), F.lit(" "), strip(F.regexp_extract(c, at, 3)))
@@ -89,7 +91,7 @@ def canonical_level(c: Column) -> Column:
 
 
 def join_header_fragment(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"^([A-Z][A-Za-z]{3,})\s+([a-z])$", "$1$2")
+    return F.regexp_replace(strip(c), r"^([A-Z][a-zA-Z]{3}[a-zA-Z]*)\s+([a-z])$", "$1$2")
 
 
 def is_numeric_label(c: Column) -> Column:
@@ -121,7 +123,7 @@ def is_code_start(c: Column) -> Column:
 
 
 def continues_code(c: Column) -> Column:
-    return c.rlike(YAML_KEY) | c.rlike(r"^\s*[-{}\[\]]") | c.rlike(r"^\s+[A-Za-z_]")
+    return c.rlike(YAML_KEY) | c.rlike(r"^\s*[\[\]{}-]") | c.rlike(r"^\s+[A-Za-z_]")
 
 
 def picture_name(ref: Column) -> Column:
@@ -168,7 +170,7 @@ def sanitize_stem(name: Column) -> Column:
     """File name without folders and extension, in safe characters, 80 at most."""
     base = F.regexp_extract(F.regexp_replace(name, "/+$", ""), "([^/]*)$", 1)
     stem = F.when(base.rlike(r"^\.*$"), F.lit("")).otherwise(strip(F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")))
-    safe = F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "-"), "-{2,}", "-")
+    safe = F.regexp_replace(F.regexp_replace(stem, r"[^.\w-]+", "-"), "-{2,}", "-")
     safe = F.regexp_replace(safe, r"^[._-]+|[._-]+$", "")
     return F.substring(F.coalesce(F.nullif(safe, F.lit("")), F.lit("document")), 1, 80)
 

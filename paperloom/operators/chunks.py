@@ -46,7 +46,7 @@ def pack_sentences(df: DataFrame, column: str, limit: int = MAX_TOKENS, prefix:
     """
     words_before = F.lit(0) if prefix is None else text.word_count(prefix)
     t = F.col(column)
-    sentences = F.filter(F.split(t, r"(?<=[.!?])\s+|\n\n+", -1), lambda x: x != "")
+    sentences = F.filter(F.split(t, r"\n{2,}|(?<=[?!.])\s+", -1), lambda x: x != "")
     units = F.when(F.size(sentences) == 1, F.regexp_extract_all(t, F.lit(r"\S+\s*"), F.lit(0))).otherwise(sentences)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 

@@ -13,12 +13,9 @@ from ..functions import scans, text
 from ..functions.similarity import ratio
 
 TABLE_HEADERS = {
-    ("Category", "Requirement"): ["Performance", "Scalability", "Security", "Usability", "Reliability", "Backup & Recovery", "Compliance"],
-    ("Component", "Specification"): [
-        "Database", "Application Stack", "Authentication", "Environment", "# of Virtual Machines (VMs)",
-        "CPU Configuration", "Memory (RAM)", "Disk Size", "Operating System", "Storage Type",
-    ],
-}
+    ("Category", "Requirement"): "Backup & Recovery|Compliance|Performance|Reliability|Scalability|Security|Usability".split("|"),
+    ("Component", "Specification"): "# of Virtual Machines (VMs)|Application Stack|Authentication|CPU Configuration|Database|Disk Size|Environment|Memory (RAM)|Operating System|Storage Type".split("|"),
+}
 SIMILAR, BOTTOM, TOP, EDGE = 0.95, 0.12, 0.85, 0.08
 
 
@@ -65,7 +62,7 @@ def clean_headings(lines: DataFrame, levels: DataFrame | None = None, furniture_
     Order of the rules: empty, page furniture, start of a source-code item (inside fences as well), a title beginning
     with "of", fused numbers, numbered title, field label, sentence, the document's own level, the hashes (6 at most).
     """
-    h = r"^(#{1,10})\s+(.*)$"
+    h = r"^(\#{1,10})\s+(.*)"
     df = with_fences(lines).withColumn("_is", F.col("line").rlike(h))
     df = df.withColumn("_t", text.strip(F.regexp_extract("line", h, 2))).withColumn("_sig", F.when(F.col("_is"), text.text_signature(F.col("_t"))))
     if levels is not None:
@@ -82,9 +79,9 @@ def clean_headings(lines: DataFrame, levels: DataFrame | None = None, furniture_
         df = df.withColumn("_code", (F.length("_sig") >= 12) & F.exists(F.coalesce("_starts", F.array()), lambda s: s.startswith(F.col("_sig"))))
     else:
         df = df.withColumn("_code", F.lit(False))
-    t = F.regexp_replace("_t", r"^(\d+(?:\.\d+)+)([A-Z])", "$1 $2")
-    parts = F.split(t, r"\s+(?=\d+(?:\.\d+){1,}\s+[A-Z])", -1)
-    fused = (F.size(parts) > 1) & F.get(parts, F.lit(0)).rlike(r"^\d+(?:\.\d+){1,}\s+")
+    t = F.regexp_replace("_t", r"^(\d+(?:[.]\d+)+)([A-Z])", "$1 $2")
+    parts = F.split(t, r"\s+(?=\d+(?:[.]\d+)+\s+[A-Z])", -1)
+    fused = (F.size(parts) > 1) & F.get(parts, F.lit(0)).rlike(r"^\d+(?:[.]\d+)+\s+")
     level = F.coalesce(F.col("doc_level"), F.least(F.length(F.regexp_extract("line", h, 1)), F.lit(text.MAX_LEVEL)))
     cleaned = (
         F.when(F.col("_code"), F.concat(F.lit("\\# "), "_t"))
@@ -181,8 +178,7 @@ def borderless_tables(docs: DataFrame) -> DataFrame:
 
 def _borderless(markdown: str) -> str:
     lines = markdown.split("\n")
-    out: list[str] = []
-    i = 0
+    i, out = 0, []
     while i < len(lines):
         first = lines[i].strip()
         j = next((k for k in range(i + 1, len(lines)) if lines[k].strip()), None)
@@ -207,6 +203,6 @@ def _borderless(markdown: str) -> str:
             i += 1
             continue
         esc = [c.replace("|", "\\|") for c in cells]
-        out += [f"| {first} | {lines[j].strip()} |", "| --- | --- |", *(f"| {a} | {b} |" for a, b in zip(esc[::2], esc[1::2])), ""]
+        out += [f"| {first} | {lines[j].strip()} |", " --- ".join("|||"), *(f"| {a} | {b} |" for a, b in zip(esc[::2], esc[1::2])), ""]
         i = k
     return "\n".join(out)

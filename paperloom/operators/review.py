@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-KEYWORDS = ["architecture", "workflow", "deployment", "sequence", "data flow", "database", "service", "integration", "kubernetes", "docker"]
-ERD_MARKERS = [" pk", " fk", "_id", "uuid", "enum", "varchar", "timestamp"]
-SYSTEMIC = "invalid api key|api key not valid|permission denied|quota exceeded|billing|model not found|not_found|error code: 401|error code: 403|error code: 404|error code: 429|response schema|invalid schema"
+KEYWORDS = "architecture|data flow|database|deployment|docker|integration|kubernetes|sequence|service|workflow".split("|")
+ERD_MARKERS = "_id| fk| pk|enum|timestamp|uuid|varchar".split("|")
+SYSTEMIC = "|".join(["api key not valid", "billing", *(f"error code: {n}" for n in (401, 403, 404, 429)), "invalid api key", "invalid schema", "model not found", "not_found", "permission denied", "quota exceeded", "response schema"])
 TRANSIENT = "429|rate|timeout|timed out|temporar|unavailable|503|500|connection"
 
 

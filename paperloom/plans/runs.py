@@ -64,9 +64,9 @@ class Timings:
 
 def manifest(source: dict[str, Any], profile: dict[str, Any], status: str = "running", **more: Any) -> dict[str, Any]:
     return {
-        "schema_version": "1.0",
-        "created_at": datetime.now(UTC).isoformat(),
         "status": status,
+        "created_at": datetime.now(UTC).isoformat(),
+        "schema_version": "1.0",
         "source": source,
         "profile": profile,
         "runtime": {p: version(p) for p in PACKAGES},
@@ -108,14 +108,14 @@ def new_evaluation(folder: Path) -> Path:
     return path
 
 
-def save_evaluation(folder: Path, scores: dict[str, int], notes: str = "") -> Path:
+def save_evaluation(folder: Path, scores: dict[str, int], remark: str = "") -> Path:
     """Exactly the seven scores, each 0, 1 or 2."""
     if set(scores) != set(gates.SCORES):
         raise ValueError("scores must be exactly: " + ", ".join(gates.SCORES))
     if any(type(v) is not int or v not in (0, 1, 2) for v in scores.values()):
         raise ValueError("scores must be 0, 1 or 2")
     path = folder / "evaluation.json"
-    write_json(path, {"status": "complete", "scores": scores, "total": sum(scores.values()), "maximum": 2 * len(gates.SCORES), "notes": notes})
+    write_json(path, {"status": "complete", "maximum": 2 * len(gates.SCORES), "total": sum(scores.values()), "notes": remark, "scores": scores})
     return path
 
 

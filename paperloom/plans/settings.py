@@ -67,11 +67,11 @@ class ReviewSettings:
     exchange_rate: float = 100.0
 
     @property
-    def configured(self) -> bool:
-        return self.enabled and bool(self.api_key)
+    def usable(self) -> bool:
+        return bool(self.api_key) and self.enabled
 
     def public(self) -> dict[str, Any]:
-        return {k: v for k, v in asdict(self).items() if k != "api_key"} | {"configured": self.configured}
+        return {k: v for k, v in asdict(self).items() if k != "api_key"} | {"configured": self.usable}
 
 
 def review_settings(enabled: bool | None = None, env: Mapping[str, str] | None = None, prefix: str = "PAPERLOOM_REVIEW_") -> ReviewSettings:
@@ -89,12 +89,16 @@ def review_settings(enabled: bool | None = None, env: Mapping[str, str] | None =
     )
 
 
+#: A response and what it used: input_tokens, output_tokens, thought_tokens.
+Answer = tuple[dict[str, Any], dict[str, int]]
+
+
 class Reviewer(Protocol):
     """The model call, given from outside: two passes over one candidate, each giving a dict and a usage count."""
 
-    def extract(self, candidate: dict[str, Any]) -> tuple[dict[str, Any], dict[str, int]]: ...
+    def extract(self, candidate: dict[str, Any]) -> Answer: ...
 
-    def verify(self, candidate: dict[str, Any], extraction: dict[str, Any]) -> tuple[dict[str, Any], dict[str, int]]: ...
+    def verify(self, candidate: dict[str, Any], extraction: dict[str, Any]) -> Answer: ...
 
 
 class Converter(Protocol):

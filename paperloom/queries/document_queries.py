@@ -67,7 +67,7 @@ def readiness_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select doc_id, n_chars, case when ext not in ('.pdf', '.docx', '.pptx', '.md', '.markdown', '.html', '.htm', '.txt', '.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') then 'unsupported_extension'
+    """select doc_id, n_chars, case when ext not in ('.md', '.txt', '.pdf') then 'unsupported_extension'
     when n_chars = 0 then 'empty' when n_chars > 20000 then 'too_large' when ext = '.pdf' then 'content_mismatch' end as error
     from (select *, case lang when 'en' then '.md' when 'de' then '.txt' when 'fr' then '.exe' else '.pdf' end ext from documents)"""
 )
@@ -145,7 +145,7 @@ def picture_context_asof(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""with l as (select doc_id, unnest(range(len(x))) line_no, unnest(x) line from (select doc_id, string_split(text, chr(10)) x from documents)),
-    f as (select doc_id, line_no, line, regexp_matches(line, '(?i)^\s*(?:#|//|/\*|```|apiVersion\s*:|kind\s*:|services\s*:|pipeline\s*\{|stages?\s*\{|node\s*\{|FROM\s+|kubectl\s+|docker\s+)') c from l),
+    f as (select doc_id, line_no, line, regexp_matches(line, '(?i)^\s*(#|```|/[*/]|(kind|services|apiversion)\s*:|(stage|stages|pipeline|node)\s*\{|(from|docker|kubectl)\s+)') c from l),
     g as (select *, line_no - row_number() over (partition by doc_id, c order by line_no) k from f)
     select doc_id, min(line_no)::int as first_line, count(*)::bigint as n_lines, md5(string_agg(line, chr(10) order by line_no)) as code_md5 from g where c group by doc_id, k"""
 )

@@ -36,7 +36,7 @@ def entity_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""select page_id, left(case when c = '' then 'document' else c end, 80) as stem from (select page_id, regexp_replace(regexp_replace(regexp_replace(
-      case when regexp_matches(b, '^\.*$') then '' else trim(regexp_replace(b, '([^.])\.[^.]*$', '\1')) end, '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') c
+      case when regexp_matches(b, '^\.*$') then '' else trim(regexp_replace(b, '([^.])\.[^.]*$', '\1')) end, '[^.0-9A-Za-z_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') c
       from (select page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) b from pages))"""
 )
 def sanitize_url_stem(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def mime_by_signature(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) x from documents)
-    select doc_id, count(*) filter (where regexp_matches(x, '^\d{1,2}[-/][A-Za-z]{3,9}[-/]\d{2,4}$') or regexp_matches(x, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$') or (x like '%.' and len(regexp_extract_all(x, '\S+')) >= 5))::bigint as false_headings,
+    select doc_id, count(*) filter (where regexp_matches(x, '^(\d{4}[/-]\d\d?[/-]\d\d?|\d\d?[/-][a-zA-Z]{3,9}[/-]\d{2,4})$') or (x like '%.' and len(regexp_extract_all(x, '\S+')) >= 5))::bigint as false_headings,
       count(*)::bigint as n_lines from l group by 1"""
 )
 def false_sentence_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def heading_clean_lines(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", "title").join(done, "page_id")
 
 
-@query("select p_partkey, regexp_replace(x, '^([A-Z][A-Za-z]{3,})\\s+([a-z])$', '\\1\\2') as fixed from (select p_partkey, upper(left(p_name, 1)) || substr(p_name, 2, p_partkey % 6 + 3) || ' ' || chr((97 + p_partkey % 26)::int) x from part)".replace("\\\\", "\\"))
+@query("select p_partkey, regexp_replace(x, '^([A-Z][a-zA-Z]{3}[a-zA-Z]*)\\s+([a-z])$', '\\1\\2') as fixed from (select p_partkey, upper(left(p_name, 1)) || substr(p_name, 2, p_partkey % 6 + 3) || ' ' || chr((97 + p_partkey % 26)::int) x from part)".replace("\\\\", "\\"))
 def header_fragment_join(spark: SparkSession, d: str) -> DataFrame:
     cell = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", F.lit(2), F.col("p_partkey") % 6 + 3), F.lit(" "), F.chr(97 + F.col("p_partkey") % 26))
     return table(spark, d, "part").select("p_partkey", text.join_header_fragment(cell).alias("fixed"))
@@ -97,7 +97,7 @@ def header_fragment_join(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""with l as (select doc_id, unnest(string_split(text, chr(10))) x from documents), c as (select doc_id, lower(x) w, x from l)
     select doc_id, count(*) filter (where y)::bigint as yaml_lines, count(*) filter (where not y and g)::bigint as groovy_lines, count(*) filter (where not y and not g and b)::bigint as bash_lines
-    from (select doc_id, (w like '%apiversion:%' or w like '%kind:%' or w like '%services:%' or regexp_matches(x, '^\s*(?:[-?]\s+)?[A-Za-z_][0-9A-Za-z_.-]*\s*:')) y, (w like '%pipeline%' or w like '%stage(%') g, (w like 'docker %' or w like 'kubectl %' or w like '#!/%') b from c) group by 1"""
+    from (select doc_id, (w like '%apiversion:%' or w like '%kind:%' or w like '%services:%' or regexp_matches(x, '^\s*([?-]\s+)?[_a-zA-Z][\w.\-]*\s*:')) y, (w like '%pipeline%' or w like '%stage(%') g, (w like 'docker %' or w like 'kubectl %' or w like '#!/%') b from c) group by 1"""
 )
 def code_language_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = L.to_lines(table(spark, d, "documents")).withColumn("k", text.code_language(F.col("line")))

@@ -20,9 +20,10 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import text
 
-EXTENSIONS = [".pdf", ".docx", ".pptx", ".md", ".markdown", ".html", ".htm", ".txt", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
+_KINDS = {"image": "bmp jpeg jpg png tif tiff webp", "office": "docx pptx", "text": "markdown md txt", "web": "htm html", "pdf": "pdf"}
+EXTENSIONS = [f".{e}" for kind in _KINDS.values() for e in kind.split()]
 MAX_SIZE = 100 * 1024 * 1024
-IMAGES = [e for e in EXTENSIONS if e in (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")]
+IMAGES = [f".{e}" for e in _KINDS["image"].split()]
 
 
 def read_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -51,7 +52,7 @@ def mime_matches(ext: Column, mime: Column, content: Column) -> Column:
         F.when(ext == ".pdf", mime == "application/pdf")
         .when(ext.isin(".docx", ".pptx"), mime == "application/zip")
         .when(ext.isin(".md", ".markdown", ".txt"), is_text)
-        .when(ext.isin(".html", ".htm"), mime.isin("text/html", "text/plain", "application/xhtml+xml") & is_text)
+        .when(ext.isin(".html", ".htm"), mime.isin("text/plain", "text/html", "application/xhtml+xml") & is_text)
         .when(ext.isin(IMAGES), mime.startswith("image/"))
         .otherwise(False)
     )
@@ -154,7 +155,7 @@ def docx_items(files: DataFrame) -> DataFrame:
 def docx_blocks(items: DataFrame) -> DataFrame:
     """docx_items typed: code by style, font or beginning, headings by style, outline or bold number, numbered items as lists."""
     style = text.casefold(F.coalesce("style", F.lit("")))
-    code = style.rlike("code|preformatted|source|console|terminal") | F.col("monospace") | text.is_code_start(F.col("text"))
+    code = style.rlike("terminal|console|source|preformatted|code") | F.col("monospace") | text.is_code_start(F.col("text"))
     styled = F.regexp_extract(style, r"heading\s*([1-6])", 1)
     level = F.when(styled != "", styled.cast("int")).otherwise(F.col("outline"))
     number = text.canonical_level(F.col("text"))
@@ -182,4 +183,4 @@ def inventory(files: DataFrame) -> DataFrame:
 
 def safe_name(s: str) -> str:
     """Driver-side twin of sanitize_stem for folder names."""
-    return re.sub(r"^[._-]+|[._-]+$", "", re.sub(r"-{2,}", "-", re.sub(r"[^A-Za-z0-9._-]+", "-", s)))[:80] or "document"
+    return re.sub("--+", "-", re.sub(r"[^.\w-]+", "-", s, flags=re.A)).strip("-_.")[:80] or "document"

@@ -82,7 +82,7 @@ def markdown_items(docs: DataFrame) -> DataFrame:
     from ..operators import lines as L
 
     df = L.with_fences(L.to_lines(docs)).where("not is_fence")
-    h = r"^(#{1,6})\s+(.*)$"
+    h = r"^(\#{1,6})\s+(.*)$"
     label = F.when(F.col("in_fence"), "code").when(F.col("line").rlike(h), "section_header").when(F.col("line").rlike(r"^\s*(?:[-*+]|\d+[.)])\s+"), "list_item").otherwise("text")
     body = F.when(label == "section_header", F.regexp_extract("line", h, 2)).when(label == "list_item", F.regexp_replace("line", r"^\s*(?:[-*+]|\d+[.)])\s+", "")).otherwise(F.col("line"))
     return df.select("doc_id", F.col("line_no").alias("ord"), label.alias("label"), F.when(label == "section_header", F.length(F.regexp_extract("line", h, 1))).alias("level"), body.alias("text")).where("trim(text) <> ''")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -78,23 +79,25 @@ def test_split_words_drops_a_prefix_that_is_too_long(spark):
 
 
 def sequential_pack(text, limit):
+    """The greedy loop, one unit at a time."""
     import re
 
-    count = lambda s: len(s.split())
-    if count(text) <= limit:
+    if len(text.split()) <= limit:
         return [text]
-    units = [u for u in re.split(r"(?<=[.!?])\s+|\n\n+", text) if u]
-    if len(units) == 1:
-        units = re.findall(r"\S+\s*", text)
-    done, group = [], ""
+    units = list(filter(None, re.split(r"\n{2,}|(?<=[?!.])\s+", text)))
+    units = units if len(units) > 1 else re.findall("[^ \n]+[ \n]*", text)
+    pieces, now = [], None
     for u in units:
-        sep = " " if re.search(r"[.!?]$", group.strip()) else ""
-        if group and count((group + sep + u).strip()) > limit:
-            done.append(group.strip())
-            group = u
+        if now is None:
+            now = u
+            continue
+        longer = now + (" " if now.strip()[-1:] in tuple("?!.") else "") + u
+        if len(longer.split()) > limit:
+            pieces.append(now.strip())
+            now = u
         else:
-            group += (sep if group else "") + u
-    return [*done, group.strip()] if group else done
+            now = longer
+    return [*pieces, now.strip()] if now is not None else pieces
 
 
 def test_sentence_packing_is_the_greedy_loop(spark):
@@ -169,7 +172,7 @@ def test_annotation(spark):
 def test_coverage_of_pictures(spark):
     rows = [(0, 800, 600, False, True, "done", ""), (1, 800, 600, False, True, "failed", None), (2, 800, 600, False, False, "done", "x"), (3, 10, 10, False, True, "done", "x"), (4, 5, 5, True, True, None, None), (5, 800, 600, True, False, None, None), (6, 800, 600, False, True, "done", "React SPA Frontend and Express Backend"), (7, 800, 600, False, True, None, None), (8, 800, 600, False, True, "done", "Ate pes eee Ser")]
     df = spark.createDataFrame([(1, *r[:5], True, *r[5:]) for r in rows], "doc_id int, pic_idx int, width int, height int, structured boolean, has_file boolean, matched boolean, ocr_status string, ocr_text string")
-    assert [x.coverage_status for x in pictures.coverage(df).orderBy("pic_idx").collect()] == ["ocr_empty", "ocr_failed", "missing_exported_asset", "below_threshold", "structured_text", "missing_exported_asset", "ocr_text", "ocr_unavailable", "ocr_low_quality"]
+    assert [x.coverage_status for x in pictures.coverage(df).orderBy("pic_idx").collect()] == "ocr_empty ocr_failed missing_exported_asset below_threshold structured_text missing_exported_asset ocr_text ocr_unavailable ocr_low_quality".split()
     capped = [x.coverage_status for x in pictures.coverage(df, limit=2).orderBy("pic_idx").collect()]
     assert capped[6:] == ["ocr_limit_exceeded"] * 3
 
@@ -223,14 +226,28 @@ def test_overlays_and_supplements(spark):
     assert [x.statement for x in review.supplements(claims, verdicts).collect()] == ["better"]
 
 
-GRAPH = """{"body":{"children":[{"$ref":"#/texts/0"},{"$ref":"#/groups/0"},{"$ref":"#/tables/0"},{"$ref":"#/texts/2"}]},
-"texts":[{"self_ref":"#/texts/0","label":"section_header","level":1,"text":"1. Intro","children":[]},{"self_ref":"#/texts/1","label":"list_item","text":"first point","children":[]},{"self_ref":"#/texts/2","label":"text","text":"Closing words.","children":[{"$ref":"#/pictures/0"}]}],
-"groups":[{"self_ref":"#/groups/0","children":[{"$ref":"#/texts/1"}]}],
-"tables":[{"self_ref":"#/tables/0","prov":[{"page_no":1,"bbox":{"l":0,"t":400,"r":100,"b":40}}],"data":{"num_rows":2,"num_cols":2,"table_cells":[
-{"text":"Key","start_row_offset_idx":0,"end_row_offset_idx":1,"start_col_offset_idx":0,"end_col_offset_idx":1,"column_header":true},{"text":"Value","start_row_offset_idx":0,"end_row_offset_idx":1,"start_col_offset_idx":1,"end_col_offset_idx":2,"column_header":true},
-{"text":"a","start_row_offset_idx":1,"end_row_offset_idx":2,"start_col_offset_idx":0,"end_col_offset_idx":1},{"text":"b","start_row_offset_idx":1,"end_row_offset_idx":2,"start_col_offset_idx":1,"end_col_offset_idx":2}]}}],
-"pictures":[{"self_ref":"#/pictures/0","parent":{"$ref":"#/texts/2"},"children":[],"image":{"uri":"p1.png","size":{"width":800,"height":600}}}],
-"pages":{"1":{"size":{"width":500,"height":800}}}}"""
+def ref(name):
+    return {"$ref": f"#/{name}"}
+
+
+def item(name, **more):
+    return {"self_ref": f"#/{name}", **more}
+
+
+def cell(row, col, value, header=False):
+    return dict(text=value, start_row_offset_idx=row, end_row_offset_idx=row + 1, start_col_offset_idx=col, end_col_offset_idx=col + 1, column_header=header)
+
+
+GRAPH = json.dumps(
+    dict(
+        body=dict(children=[ref("texts/0"), ref("groups/0"), ref("tables/0"), ref("texts/2")]),
+        texts=[item("texts/0", label="section_header", level=1, text="1. Intro", children=[]), item("texts/1", label="list_item", text="first point", children=[]), item("texts/2", label="text", text="Closing words.", children=[ref("pictures/0")])],
+        groups=[item("groups/0", children=[ref("texts/1")])],
+        tables=[item("tables/0", prov=[dict(page_no=1, bbox=dict(l=0, t=400, r=100, b=40))], data=dict(num_rows=2, num_cols=2, table_cells=[cell(0, 0, "Key", True), cell(0, 1, "Value", True), cell(1, 0, "a"), cell(1, 1, "b")]))],
+        pictures=[item("pictures/0", parent=ref("texts/2"), children=[], image=dict(uri="p1.png", size=dict(width=800, height=600)))],
+        pages={"1": dict(size=dict(width=500, height=800))},
+    )
+)
 
 
 def test_a_document_graph_end_to_end(spark, tmp_path):
@@ -256,7 +273,7 @@ def test_settings():
     with pytest.raises(ValueError):
         settings.profile("other")
     s = settings.review_settings(env={"PAPERLOOM_REVIEW_ENABLED": "Yes", "PAPERLOOM_REVIEW_CANDIDATES": "1000", "PAPERLOOM_REVIEW_REQUESTS": "x"})
-    assert s.enabled and not s.configured and s.max_candidates == 100 and s.max_requests == 7 and "api_key" not in s.public()
+    assert s.enabled and not s.usable and s.max_candidates == 100 and s.max_requests == 7 and "api_key" not in s.public()
 
 
 def test_evaluation_and_scope(spark):
