@@ -3,9 +3,11 @@
 Rotations are learned in numpy on a bounded sample (SAMPLE vectors): each starts from a random orthogonal matrix over
 the principal directions and alternates sign codes with a Procrustes step, which balances the variance over the bits.
 ROTATIONS of them give codes of up to 192 bits; the codes are cut into 16-bit substrings, each one a Hamming table.
-Vectors that share a substring and a label meet in a bucket, where they are reranked by cosine in double precision over
-the original vectors, so no link below the threshold is reported. Every vector is indexed. At the threshold itself a pair
-shares one of the 12 tables with probability 0.99; measured recall is in the README.
+Vectors that share a substring and a label meet in a bucket. Buckets first hold codes alone: rows with no other code
+within RADIUS of their bits go, which chance meetings do and near vectors (whose bits differ by a sixteenth) don't. Only
+what is left is joined with the original vectors and reranked by cosine in double precision, so no link below the
+threshold is reported and vectors are not shuffled for every table. Every vector is indexed. At the threshold itself a
+pair shares one of the 12 tables with probability 0.99; measured recall is in the README.
 
 Equal vectors of one label are merged first (map-side combining), so a group of copies is one row of the index, and
 counts are multiplied back. Buckets of more than HOT_ROWS are cut into cells of bounded size. A pair that meets in
@@ -32,6 +34,8 @@ THRESHOLD = 0.98
 ROTATIONS, BITS, ROUNDS = 3, 16, 30
 SAMPLE = 20_000
 HOT_ROWS = 2048
+#: Share of differing bits up to which a pair is reranked.
+RADIUS = 0.25
 SCHEMA = "a long, b long, n long"
 
 
@@ -89,29 +93,56 @@ def _index(models: dict) -> callable:
                 model = models.get(int(d)) or learn(np.empty((0, int(d))))
                 sub = substrings(_unit(_matrix(part.column("v"))), model)
                 n, t = sub.shape
+                code = pa.array([x.tobytes() for x in sub.astype("<u2")], pa.binary())
                 for i in range(t):
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("label"), part.column("dims"), pa.array(np.full(n, i, np.int32)), pa.array(sub[:, i]), part.column("copies"), part.column("v"), pa.array(list(sub), pa.list_(pa.int32()))],
-                        names=["id", "label", "dims", "tab", "bucket", "copies", "v", "code"],
-                    )
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), part.column("dims"), pa.array(np.full(n, i, np.int32)), pa.array(sub[:, i]), code], names=["id", "label", "dims", "tab", "bucket", "code"])
 
     return run
 
 
-def _search(threshold: float) -> callable:
-    key = ["label", "dims", "tab", "bucket", "cell_i", "cell_j"]
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """(rows, tables) 16-bit substrings."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), "<u2").reshape(len(values), -1)
+
+
+_CELL = ["label", "dims", "tab", "bucket", "cell_i", "cell_j"]
+
+
+def _keys(t: pa.Table) -> np.ndarray:
+    label = np.unique(t.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+    return np.column_stack([label, *(t.column(k).to_numpy() for k in _CELL[1:])])
 
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each cell that have another row within the radius."""
+    for t in grouped_batches(batches, _CELL):
+        keep = np.zeros(t.num_rows, bool)
+        for s, e in runs(_keys(t)):
+            if e - s < 2:
+                continue
+            c = _codes(t.column("code").slice(s, e - s))  # lengths follow dims, which a cell has one of
+            limit = RADIUS * BITS * c.shape[1]
+            for i in range(0, e - s, 256):
+                far = np.zeros((len(c[i : i + 256]), e - s), np.int32)
+                for k in range(c.shape[1]):
+                    far += np.bitwise_count(c[i : i + 256, k, None] ^ c[None, :, k])
+                keep[s + i : s + i + len(far)] = (far <= limit).sum(axis=1) > 1  # itself is one
+        if keep.any():
+            yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _search(threshold: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped_batches(batches, key):
-            names, label = np.unique(t.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            keys = np.column_stack([label, *(t.column(k).to_numpy() for k in key[1:])])
+        for t in grouped_batches(batches, _CELL):
+            keys = _keys(t)
             ids, copies, tile = (t.column(k).to_numpy() for k in ("id", "copies", "tile"))
             a, b, n = [], [], []
             for s, e in runs(keys):
                 if e - s < 2:
                     continue
                 x = _unit(_matrix(t.column("v").slice(s, e - s)))
-                code, own = _matrix(t.column("code").slice(s, e - s)), tile[s:e]
+                code, own = _codes(t.column("code").slice(s, e - s)), tile[s:e]
                 across = keys[s, -2] != keys[s, -1]
                 near = np.zeros((e - s, e - s), bool)
                 for i in range(0, e - s, 512):
@@ -153,10 +184,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     for r in classes.select("v").orderBy(F.xxhash64("v")).limit(sample).toLocalIterator():
         fit.setdefault(len(r.v), []).append(r.v)
     models = {d: learn(_unit(np.array(x))) for d, x in fit.items()}
-    filed = classes.select("id", "label", "dims", "copies", "v").mapInArrow(_index(models), "id long, label string, dims int, tab int, bucket int, copies long, v array<double>, code array<int>")
-    key = ["label", "dims", "tab", "bucket", "cell_i", "cell_j"]
-    cells = tile_hot(filed, key[:4], "id", hot_rows)
-    found = written(cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(threshold), SCHEMA), "itq")
+    filed = classes.select("id", "label", "dims", "v").mapInArrow(_index(models), "id long, label string, dims int, tab int, bucket int, code binary")
+    cells = tile_hot(filed, _CELL[:4], "id", hot_rows)
+    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_screen, cells.schema)
+    cells = near.join(classes.select("id", "copies", "v"), "id")
+    found = written(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_search(threshold), SCHEMA), "itq")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b"))
     named = classes.select("id", "label", "v", "copies", "least").join(counts, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")

@@ -130,6 +130,14 @@ def test_itq_finds_what_brute_force_finds(spark):
     assert again == {k: (r.n_links, r.component_id) for k, r in got.items()}  # cells change nothing
 
 
+def test_itq_of_two_lengths_in_one_label(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(40 if i % 2 else 64).tolist(), 1) for i in range(60)]
+    rows += [(100 + i, [2 * x for x in rows[i][1]], 1) for i in range(60)]
+    got = {r.vec_id: r for r in op1_itq.near_duplicates(vectors(spark, [(*r, *[None] * 5) for r in rows])).collect()}
+    assert all(got[i].n_links == 1 and got[100 + i].component_id == i for i in range(60))
+
+
 def test_itq_of_odd_rows(spark):
     e = [1.0, 2.0, 3.0]
     rows = [(1, e, 1), (2, e, 1), (3, e, 2), (4, e, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 3.0], 1), (8, [1.0, float("nan"), 3.0], 1), (9, [float("inf"), 2.0, 3.0], 1), (10, [], 1), (11, [1.0, 2.0], 1), (None, e, 1), (2, e, 1), (12, [2.0, 4.0, 6.0], 1)]
