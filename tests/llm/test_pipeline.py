@@ -1,28 +1,65 @@
+"""Each stage against a plain computation over its own input."""
+
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
-from paperloom.llm import op4_simhash, op6_packing, op8_quality
-from paperloom.llm.common import table
+from paperloom.llm import op2_toxicity, op5_pii, op6_packing, op8_quality
+from paperloom.llm.common import table, vocabulary, written
+from tests.conftest import oracle_rows
+from tests.llm.test_near_duplicates import brute_fingerprint, roots
 
 
-def test_stages_do_what_their_operators_say(spark, sf):
+def test_stages_against_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns
-    at = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, at, sf).cache()
-        assert after.columns == columns
-        if name == "quality":
-            want = {r.doc_id for r in op8_quality.quality(at).where("kept").collect()}
-            assert {r.doc_id for r in after.collect()} == want
-        elif name == "near_duplicates":
-            want = {r.component_id for r in op4_simhash.simhash(at).collect()}
-            assert {r.doc_id for r in after.collect()} == want
-        elif name == "pii":
-            assert after.count() == at.count()
-            assert {r.doc_id: r.n_chars for r in after.collect()} == {r.doc_id: len(r.text) for r in after.collect()}
-        at = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, at, sf).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in at.collect()}
-    assert len(packed) == op6_packing.pack(at).count()
+    seen = {r.doc_id: r for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "toxicity", "near_duplicates", "pii", "packing"]
+
+    def after(name, at):
+        out = written(stages[name](spark, at, sf), "test")
+        assert out.columns == columns
+        return out, {r.doc_id: r for r in out.collect()}
+
+    at, kept = after("quality", docs)
+    want = oracle_rows(f"select doc_id from ({op8_quality.SQL}) where kept", sf)
+    assert set(kept) == set(want.doc_id) and all(kept[i] == seen[i] for i in kept)
+
+    before = kept
+    model = op2_toxicity.fit(at, table(spark, sf, "labels"))
+    at, kept = after("toxicity", at)
+    ids = sorted(before)
+    scores = op2_toxicity._scores(model, [before[i].text.encode() for i in ids], op2_toxicity.Words())
+    assert set(kept) == {i for i, s in zip(ids, scores) if s < 0.3} and all(kept[i] == before[i] for i in kept)
+
+    before = kept
+    at, kept = after("near_duplicates", at)
+    ids = sorted(before)
+    fp = [brute_fingerprint(before[i].text) for i in ids]
+    group = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(fp[a] ^ fp[b]).count("1") <= 4])
+    assert set(kept) == {ids[g] for g in group} and all(kept[i] == before[i] for i in kept)
+
+    before = kept
+    at, kept = after("pii", at)
+    assert set(kept) == set(before)
+    found = {r.doc_id: r.n_entities for r in op5_pii.replace_pii(spark.createDataFrame(list(before.values()))).collect()}
+    for i, r in kept.items():
+        assert (r.text != before[i].text) == (found[i] > 0) and r.n_chars == len(r.text) and r.source == before[i].source
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(op6_packing.VOCABULARY))
+    pieces = {}
+    for r in stages["packing"](spark, at, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(kept)
+    for i, own in pieces.items():
+        ids = np.array(library.encode(kept[i].text, add_special_tokens=False).ids + [1], "<u4")
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and sum(r.length for r in own) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
 
 
 def test_run_gives_rows(spark, sf):
@@ -32,6 +69,4 @@ def test_run_gives_rows(spark, sf):
 def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, sf):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
-            if name != "toxicity":
-                stage(spark, docs, sf).collect()
-    corpus_pipeline.toxicity_stage(spark, odd_docs, sf).collect()
+            stage(spark, docs, sf).collect()
