@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,8 +57,8 @@ class Words:
 
     def reset(self) -> None:
         self.row: dict[bytes, int] = {b"": 0}
-        self.features = [(0,) * (1 + len(PREFIXES))]
-        self.votes = [(0,) * len(_TONGUES)]
+        self.flat = array("i", [0] * (1 + len(PREFIXES)))
+        self.tongues = bytearray(1)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         row = self.row
@@ -65,11 +66,18 @@ class Words:
             if w not in row:
                 t = _EDGE.sub("", w.decode("utf-8", "replace").lower())
                 keys = [t, *(f"{n}:{t[:n]}" if len(t) > n else "" for n in PREFIXES)]
-                row[w] = len(self.features)
-                self.features.append(tuple(zlib.crc32(k.encode()) % (BUCKETS - 1) + 1 if k else 0 for k in keys))
-                tongues = _TONGUE_OF.get(t, ())
-                self.votes.append(tuple(int(i in tongues) for i in range(len(_TONGUES))))
-        return np.fromiter(map(row.__getitem__, words), np.int64, len(words))
+                row[w] = len(self.tongues)
+                self.flat.extend(zlib.crc32(k.encode()) % (BUCKETS - 1) + 1 if k else 0 for k in keys)
+                self.tongues.append(sum(1 << i for i in _TONGUE_OF.get(t, ())))
+        return np.fromiter(map(row.__getitem__, words), np.int32, len(words))
+
+    def features(self, ids: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """(rows, features) buckets of words by row number, as a copy."""
+        return np.array(np.frombuffer(self.flat, np.int32).reshape(-1, 1 + len(PREFIXES))[ids])
+
+    def votes(self, ids: np.ndarray) -> np.ndarray:
+        """(rows, languages) whether a word is a function word of a language."""
+        return np.frombuffer(self.tongues, np.uint8)[ids][:, None] >> np.arange(len(_TONGUES)) & 1
 
 
 @dataclass
@@ -127,10 +135,9 @@ def read(model: Model, texts: list[bytes], words: Words) -> tuple[np.ndarray, np
             flat += (b"", b"")  # windows end here
         ids = words.rows(flat)
         used, ids = np.unique(ids, return_inverse=True)
-        f = np.array([words.features[i] for i in used])
-        x = model.e[f].sum(axis=1) @ model.w
+        x = model.e[words.features(used)].sum(axis=1) @ model.w
         top = np.maximum.reduceat(model.responses(x[ids]), starts)
-        v = np.add.reduceat(np.array([words.votes[i] for i in used])[ids], starts)
+        v = np.add.reduceat(words.votes(used)[ids], starts)
         for k, (doc, _) in enumerate(queue):
             pooled[doc] = np.maximum(pooled[doc], top[k])
             votes[doc] += v[k]
@@ -181,7 +188,8 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
     y = np.array([y for _, y in learn], float)
     if not len(y) or y.min() == y.max():
         return None
-    f = np.array(words.features)
+    f = words.features()
+    del words  # the largest thing here
     # how far each bucket's share of texts differs between the classes, as a z-score, starts the first dimension
     df = np.zeros((2, BUCKETS))
     for ids, label in learn:
@@ -210,7 +218,7 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
             docs = [d for d in order[i : i + BATCH] if len(learn[d][0])]
             if not docs:
                 continue
-            flat = np.concatenate([np.concatenate([learn[d][0], [0, 0]]) for d in docs])
+            flat = np.concatenate([np.concatenate([learn[d][0], np.zeros(2, np.int32)]) for d in docs])
             starts = np.cumsum([0, *(len(learn[d][0]) + 2 for d in docs)])
             used, inverse = np.unique(flat, return_inverse=True)
             xe = m.e[f[used]].sum(axis=1)
