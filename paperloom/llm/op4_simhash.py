@@ -180,9 +180,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its component, one of each id; rows without an id stay."""
     docs = docs.select(*DOC_COLUMNS)
     gone = simhash(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return left.withColumn("_turn", turn).where("_turn = 1 or doc_id is null").select(*DOC_COLUMNS)
+    left = left.withColumn("_turn", turn).where("_turn = 1").select(*DOC_COLUMNS)
+    return left.unionByName(docs.where("doc_id is null"))  # rows without an id, however many, are not shuffled
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
