@@ -39,7 +39,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Ids:
     """Token ids of whole texts. Words are cut at ASCII white space, which no token of this vocabulary spans, and kept in a table emptied at ``most`` words."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
