@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates of the same type, with DataFrame functions only.
 
 Detected: e-mail and IP addresses, payment cards (Luhn), IBANs (mod 97), US social security numbers, telephone numbers,
-and names after a title or beginning with a known first name. One regular expression finds them; a text is cut at its
+and names after a title or beginning with a known first name. IPv6 addresses are found in full, compressed ("::") and with
+an IPv4 tail; compressed ones need a group of three hex digits or that tail, as 1::2 and a::b are slices and scopes, and
+::1 and :: name no one. One regular expression finds them; a text is cut at its
 matches and joined again around their surrogates, so nothing else changes.
 
-A surrogate comes from a Feistel network over the entity's letters and digits (octets for IPv4), keyed by SHA-512: each
+A surrogate comes from a Feistel network over the entity's letters and digits (octets for IPv4, the 32 hex digits for IPv6,
+whose surrogates are written in full, so that one address gets one surrogate in each of its forms), keyed by SHA-512: each
 character moves within its own alphabet, so script, case, length and punctuation stay, and as the network is a
 permutation, distinct entities get distinct surrogates while one entity gets the same surrogate wherever it occurs and
 however it is punctuated or cased. Kept or recomputed: the issuer and check digit of cards, country and check digits of
 IBANs, country code and plausible first digits of telephone numbers, the area of social security numbers, the top-level
-domain of addresses. Known first names are permuted within their gender and script; titles stay.
+domain of e-mail addresses, the first group of IPv6 addresses. Known first names are permuted within their gender and script; titles stay.
 
 Before use, the corpus' distinct entities are checked for surrogates that collide (they are pre-aggregated map-side and
 only entities are shuffled); a collision changes the nonce, so the replacement stays one consistent mapping.
@@ -43,10 +46,22 @@ PHONE_DIGITS = ["01", "23456789"]
 _FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names.split())
 _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.\d)"
+#: Forms with an IPv4 tail come first, as their beginnings are addresses too; n groups stand before the "::".
+_IPV6_FORMS = [
+    rf"(?:{_HEX}:){{6}}{_IPV4}",
+    rf"::(?:{_HEX}:){{0,5}}{_IPV4}",
+    *(rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{0,{5 - n}}}:{_IPV4}" for n in range(1, 6)),
+    rf"(?:{_HEX}:){{7}}{_HEX}",
+    *(rf"(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:{_HEX}:){{{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(1, 7)),
+    rf"(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:(?:{_HEX}:){{1,7}}:|:(?::{_HEX}){{1,7}})",
+]
+_IPV6 = rf"(?={_HEX}:|::)(?<![\p{{L}}\p{{N}}]|::|(?<![\p{{L}}\p{{N}}]){_HEX}:)(?:{'|'.join(_IPV6_FORMS)})(?![\p{{L}}\p{{N}}]|:[\p{{L}}\p{{N}}:])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ipv6": r"(?<![:\p{L}\p{N}])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\p{L}\p{N}])",
+    "ipv6": _IPV6,
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d+])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<![\d+])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
@@ -54,8 +69,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every match holds: a digit after a delimiter, an @, a title or a first name.
-HINT = rf"[@+(]|\d[\d.\-: ]{{5}}|(?<!\p{{L}})(?:{TITLES}|{_FIRST})(?!\p{{L}})|[A-Z]{{2}}\d\d"
+#: What every match holds: an @, + or (, a run of digits and delimiters, two colons around at most four hex digits, a title
+#: or a first name, or the head of an IBAN.
+HINT = rf"[@+(]|\d[\d.\-: ]{{5}}|:[0-9A-Fa-f]{{0,4}}:|(?<!\p{{L}})(?:{TITLES}|{_FIRST})(?!\p{{L}})|[A-Z]{{2}}\d\d"
 _HEAD = rf"^(?:(?:{TITLES})\.? )?(?:(?:{_FIRST}) (?={_NAME}))?"
 
 
@@ -72,6 +88,18 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), ""), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
+def _ipv6_tokens(raw: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in any of its forms."""
+    octet = lambda i: F.regexp_extract(raw, r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).cast("int")
+    tail = F.format_string("%x:%x", octet(1) * 256 + octet(2), octet(3) * 256 + octet(4))
+    sides = F.split(F.when(raw.contains("."), F.concat(F.regexp_replace(raw, "[^:]+$", ""), tail)).otherwise(F.lower(raw)), "::", 2)
+    groups = F.transform(sides, lambda s: F.filter(F.split(F.lower(s), ":"), lambda g: g != ""))
+    none = F.array().cast("array<string>")
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(F.flatten(groups)))
+    all8 = F.concat(F.get(groups, F.lit(0)), zeros, F.coalesce(F.get(groups, F.lit(1)), none))
+    return _chars(F.array_join(F.transform(all8, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def _luhn(digits: Column, check: bool) -> Column:
     """Luhn sum of digit tokens, from the right; ``check``: as if a check digit followed."""
     n = F.size(digits)
@@ -126,6 +154,11 @@ def _octet_step(token: Column, first: Column, k: Column) -> Column:
     return F.when(first, F.when(v.between(1, 223), (v - 1 + k) % 223 + 1).otherwise(v)).otherwise((v + k) % 256).cast("string")
 
 
+def _hex_step(token: Column, k: Column) -> Column:
+    digits = "0123456789abcdef"
+    return F.substring(F.lit(digits), ((F.instr(F.lit(digits), token) - 1 + k) % 16 + 1).cast("int"), F.lit(1))
+
+
 def feistel(tokens: Column, kind: Column, key: str) -> Column:
     """Keyed permutation of token arrays that leaves each token in its alphabet."""
     half = F.floor(F.size(tokens) / 2).cast("int")
@@ -136,7 +169,7 @@ def feistel(tokens: Column, kind: Column, key: str) -> Column:
 
         def step(t: Column, j: Column) -> Column:
             k = F.conv(F.substring(stream, (j % 42 * 3 + 1).cast("int"), F.lit(3)), 16, 10).cast("int")
-            return F.when(kind == "ip", _octet_step(t, (j == 0) & (i % 2 == 0), k)).otherwise(_alphabet_step(t, kind, k))
+            return F.when(kind == "ip", _octet_step(t, (j == 0) & (i % 2 == 0), k)).when(kind == "ipv6", _hex_step(t, k)).otherwise(_alphabet_step(t, kind, k))
 
         return F.struct(s["r"].alias("l"), F.transform(s["l"], step).alias("r"))
 
@@ -159,10 +192,10 @@ def surrogates(found: Column, key: str) -> Column:
 
     def cut(e: Column) -> Column:
         raw, kind = e["raw"], e["kind"]
-        tokens = F.when(kind == "ip", F.split(raw, r"\.")).otherwise(_tokens(raw))
+        tokens = F.when(kind == "ip", F.split(raw, r"\.")).when(kind == "ipv6", _ipv6_tokens(raw)).otherwise(_tokens(raw))
         head = (
             F.when(kind == "card", 1)
-            .when(kind == "iban", 4)
+            .when(kind.isin("iban", "ipv6"), 4)
             .when(kind == "ssn", 3)
             .when((kind == "phone") & raw.startswith("+"), F.when(raw.rlike(r"^\+[17]"), 1).otherwise(F.least(F.size(_tokens(F.regexp_extract(raw, r"^\+\d{1,3}", 0))), F.lit(2))))
             .when(kind == "name", F.size(_tokens(F.regexp_extract(raw, _HEAD, 0))))
@@ -197,7 +230,9 @@ def surrogates(found: Column, key: str) -> Column:
         first = F.regexp_extract(raw, rf"^(?:(?:{TITLES})\.? )?({_FIRST}) (?={_NAME})", 1)
         title = F.regexp_extract(raw, rf"^(?:(?:{TITLES})\.? )?", 0)
         named = F.when(F.length(first) > 0, F.concat(title, F.coalesce(F.element_at(names, first), first), F.substring(text, F.length(title) + F.length(first) + 1, F.length(raw)))).otherwise(text)
-        new = F.when(kind.isNull(), raw).when(kind == "ip", F.array_join(n, ".")).when(kind == "name", named).otherwise(text)
+        full = F.rtrim(F.regexp_replace(F.array_join(n, ""), "(.{4})", "$1:"), F.lit(":"))
+        full = F.when(raw == F.lower(raw), full).otherwise(F.upper(full))
+        new = F.when(kind.isNull(), raw).when(kind == "ip", F.array_join(n, ".")).when(kind == "ipv6", full).when(kind == "name", named).otherwise(text)
         norm = F.when(kind == "ip", F.array_join(e["t"], ".")).otherwise(F.array_join(e["t"], ""))
         return F.struct(raw.alias("raw"), kind.alias("kind"), norm.alias("norm"), new.alias("new"))
 

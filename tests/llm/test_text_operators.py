@@ -246,6 +246,27 @@ def test_surrogates_against_a_plain_feistel(spark):
     assert len({("".join(x.t), x.kind) for x in got}) == len(set(rows))
 
 
+def test_a_text_of_nothing_but_one_match_is_replaced(spark):
+    """The hint covers every kind and form; an IPv6 address has one surrogate in all its forms."""
+    from ipaddress import IPv6Address
+
+    ipv6 = "fe80:a1b2:c3d4:e5f6:a7b8:c9d0:e1f2:a3b4 fd00:ab12:cd34:ef56:ab78:cd90:ef12:ab34 2001:db8::1 2001:0DB8:0:0:0:0:0:1 2001:db8:0:0:0:0:0:1 fe80:: ::ffff:192.0.2.33 64:ff9b::192.0.2.33 64:ff9b::c000:221 1:2:3:4:5:6:7:8 1:2:3:4:5:6:192.0.2.1 2001:db8:a::b:c:d dead::beef".split()
+    r = random.Random(4)
+    ipv6 += [str(IPv6Address(r.getrandbits(128) & (r.getrandbits(128) | 0xFFFF << 112 if i % 2 else -1))) for i in range(200)]
+    others = {"email": "a@b.org", "iban": "GB82WEST12345698765432", "ip": "1.2.3.4", "card": "4111111111111111", "ssn": "123-45-6789", "phone": "672-555-8657", "name": "Mary Jones"}
+    plain = ["x[1::2]", "a::b", "std::vector", "12:30:45", "::1", "Foo::Bar", "00:1a:2b:3c:4d:5e", "ab:cd:"]
+    rows = [*(("ipv6", t) for t in ipv6), ("ipv6", "2001:db8::1: unreachable"), ("ipv6", "from IP:2001:db8::1, [2001:db8::1]:443"), *others.items(), *(("", t) for t in plain)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: r for r in op5_pii.replace_pii(docs, "k").collect()}
+    new = {t: got[i].text for i, (_, t) in enumerate(rows)}
+    for i, (kind, t) in enumerate(rows):
+        assert set(got[i].kinds.split(",")) == {kind} and (got[i].text != t) == (kind != ""), t
+    assert len({IPv6Address(new[t]) for t in ipv6}) == len({IPv6Address(t) for t in ipv6})
+    one = new["2001:db8::1"]
+    assert one == new["2001:db8:0:0:0:0:0:1"] == new["2001:0DB8:0:0:0:0:0:1"].lower() and new["64:ff9b::192.0.2.33"] == new["64:ff9b::c000:221"]
+    assert new["2001:db8::1: unreachable"] == f"{one}: unreachable" and new["from IP:2001:db8::1, [2001:db8::1]:443"] == f"from IP:{one}, [{one}]:443"
+
+
 def test_a_collision_would_change_the_nonce(spark, monkeypatch):
     docs = spark.createDataFrame([("a@b.org c@d.org",)], "text string")
     assert op5_pii.checked_key(docs, "k") == "k#0"
