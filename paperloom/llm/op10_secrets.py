@@ -34,10 +34,10 @@ SCHEMA = "doc_id long, start long, end long, rule string, secret_sha256 string,
 RULES = {
     "private_key": r"(?P<v>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+)",
     "aws_key": r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "service_token": r"(?<![A-Za-z0-9])(?P<v>gh[pousr]_[A-Za-z0-9]{30,100}+|xox[baprs]-[A-Za-z0-9-]{10,100}+|sk_(?:live|test)_[A-Za-z0-9]{16,100}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,60}+)",
+    "service_token": r"(?<![A-Za-z0-9])(?P<v>gh[pousr]_[A-Za-z0-9]{30,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}+)",
     "jwt": r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
     "assignment": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|private[_-]?key)[A-Za-z0-9_]{0,20}[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}(?:Bearer )?[\"'`]?(?P<v>[^\s\"'`,;]{6,}+)",
-    "high_entropy": r"(?<![A-Za-z0-9+/_=-])(?P<v>[A-Za-z0-9+/_-]{20,}+={0,2})",
+    "high_entropy": r"(?<![A-Za-z0-9+/_-])(?P<v>[A-Za-z0-9+/_-]{20,}+={0,2})",
 }
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 _RULES = {k: re.compile(p) for k, p in RULES.items()}
@@ -145,6 +145,9 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         lambda: f"Authorization: token {pick(alnum + '+/', 40)}",
         lambda: f"eyJ{pick(alnum, 20, 60)}.eyJ{pick(alnum, 30, 90)}.{pick(alnum + '-_', 43)}",
         lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{pick(alnum + '+/', 300)}",
+        lambda: f"{r.choice(['', 'export '])}{r.choice(['ENCRYPTION_KEY', 'SIGNING', 'SIGNING_KEY', 'MASTER_KEY', 'HMAC', 'SALT', 'CIPHER', r.choice(words).upper()])}={pick(alnum, 20, 44)}",
+        lambda: f"{r.choice(['ENCRYPTION_KEY', 'SIGNING_KEY', 'MASTER_KEY', 'HMAC_KEY', 'signing_key', 'cipher_key'])}={pick(hexa, r.choice([32, 40, 64]))}",
+        lambda: f"https://{r.choice(words)}.com/{r.choice(words)}?{r.choice(['sig', 'signature', 'sv', 'code', 'key'])}={pick(alnum, 20, 44)}",
     ]
     bad = [
         lambda: f"commit {pick(hexa, 40)} {some(2)}",
@@ -161,6 +164,10 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         lambda: f"{some(2)} {pick('0123456789', 20, 40)}",
         lambda: f"{some(1)} {pick('ab01', 1) * r.randint(20, 40)}1",
         lambda: f"sample sk_test_{pick('0', 8)}{pick('0123456789', 16)}",
+        lambda: f"{r.choice(['COMMIT', 'GIT_SHA', 'MD5', 'SHA256', 'CHECKSUM', 'IMAGE_DIGEST', 'REVISION', 'ETAG'])}={pick(hexa, r.choice([32, 40, 64]))}",
+        lambda: f"{r.choice(words).upper()}={r.choice(['_', '-', '/']).join(r.choice(words) for _ in range(5))}{r.choice(['_', '-'])}{pick('0123456789', 1, 3)}",
+        lambda: f"https://{r.choice(words)}.com/?{r.choice(['title', 'page', 'q', 'id'])}={'-'.join(r.choice(words) for _ in range(5))}-{pick('0123456789', 1, 6)}",
+        lambda: f"{r.choice(words)}?id={pick('0123456789', 20, 30)}a",
     ]
     out = []
     while len(out) < n:

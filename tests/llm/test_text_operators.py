@@ -321,3 +321,15 @@ def test_secret_offsets_and_verdicts(spark):
     by = {text[r.start : r.end]: r for r in got}
     assert by[key].is_secret and by["9f8e7d6c5b4a39281706"].is_secret and not by[digest].is_secret
     assert by[key].secret_sha256 == hashlib.sha256(key.encode()).hexdigest()
+
+
+def test_unquoted_values_and_long_tokens_are_whole_candidates(spark):
+    value, hexa = "Zx81kdPq02LmVb7TyQw94Rc", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    found = [(f"ENCRYPTION_KEY={hexa}", hexa, True), (f"export SIGNING={value}", value, True), (f"see https://a.com/x?sig={value} now", value, True)]
+    found += [(f"GIT_SHA={hexa}", hexa, False), ("see https://a.com/?title=about-every-good-house-color-42 now", "about-every-good-house-color-42", False)]
+    body = "".join(random.Random(8).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=180))
+    found += [(f"a {p}{body} b", p + body, True) for p in ("ghp_", "xoxb-", "sk_live_", "glpat-")]
+    docs = spark.createDataFrame([(i, t, "src0") for i, (t, _, _) in enumerate(found)], "doc_id long, text string, source string")
+    got = op10_secrets.secrets(docs).collect()
+    assert sorted((r.doc_id, found[r.doc_id][0][r.start : r.end]) for r in got) == [(i, own) for i, (_, own, _) in enumerate(found)]
+    assert [r.is_secret for r in sorted(got, key=lambda r: r.doc_id)] == [secret for _, _, secret in found]
