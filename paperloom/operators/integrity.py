@@ -82,12 +82,12 @@ def compatible_columns(a: Column, b: Column, cols_a: Column, cols_b: Column, pag
     return (cols_a == cols_b) & (cols_a > 0) & F.coalesce(unknown | near, F.lit(True))
 
 
-def _finding(df: DataFrame, category: str, status: str, order: int, tables: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(order).alias("rule"), F.col("table_idx"), F.lit(category).alias("category"), F.lit(status).alias("status"), tables.alias("tables"), (F.lit(status) == "review_required").alias("blocks_llm_readiness"))
+def _finding(category: str, status: str, order: int, tables: Column) -> Column:
+    return F.struct(F.lit(order).alias("rule"), F.lit(category).alias("category"), F.lit(status).alias("status"), tables.alias("tables"), F.lit(status == "review_required").alias("blocks_llm_readiness"))
 
 
 def pairs(snaps: DataFrame) -> DataFrame:
-    """Each snapshot with the next one of its document as ``n``, and whether the two run on over a page break.
+    """Each snapshot with the next one of its document as ``n``; ``flow``: the two meet at a page break, ``fits``: so do their columns.
 
     Columns adjacent (default true: nothing but page furniture between them), page_height and page_width may be there.
     """
@@ -96,42 +96,78 @@ def pairs(snaps: DataFrame) -> DataFrame:
     adjacent = F.coalesce(F.col("adjacent_next"), F.lit(True)) if "adjacent_next" in snaps.columns else F.lit(True)
     flow = (F.col("n.page") - F.col("page") == 1) & (F.col("bottom") <= BOTTOM * F.col("page_height")) & (F.col("n.top") >= TOP * F.col("n.page_height")) & adjacent
     fits = compatible_columns(F.col("edges"), F.col("n.edges"), F.col("num_cols"), F.col("n.num_cols"), F.col("page_width"))
-    return df.withColumn("flow", F.coalesce(flow & fits, F.lit(False)))
+    df = df.withColumns({"flow": F.coalesce(flow, F.lit(False)), "fits": F.coalesce(fits, F.lit(False))})
+    joined = F.col("flow") & F.col("fits") & F.col("credible")
+    sigs = lambda h: F.array_join(F.transform(h, text.text_signature), "|")
+    head, other = sigs(F.col("header")), sigs(F.col("n.header"))
+    short, long = F.least(F.length(head), F.length(other)), F.greatest(F.length(head), F.length(other))
+    near = joined & F.col("n.credible") & (head != other) & (2 * short >= SIMILAR * (short + long))
+    same = (F.size("header") == F.size("n.header")) & ((head == other) | (ratio(F.when(near, head), other) >= SIMILAR))
+    df = df.withColumns(
+        {
+            "inherits": joined & ~F.coalesce(F.col("n.credible"), F.lit(True)),
+            "repeats": F.coalesce(joined & F.col("n.credible") & same, F.lit(False)),
+        }
+    )
+    # a header that isn't credible counts as rows
+    head_rows = F.when(F.col("n.credible"), F.col("n.header_rows")).otherwise(0)
+    left, right = F.get(F.col("grid"), F.size("grid") - 1), F.get(F.col("n.grid"), head_rows)
+    # a fragment without a body, or of one row under an inherited header, has nothing to merge or would lose its only row
+    long_enough = (F.size("grid") > F.col("header_rows")) & (F.size("n.grid") > head_rows) & (F.size(left) == F.size(right))
+    split = (F.col("inherits") | F.col("repeats")) & long_enough & ((F.size("n.grid") >= 2) | F.col("n.credible")) & text.rows_continue(left, right)
+    df = df.withColumn("splits", F.coalesce(split, F.lit(False)))
+    # a row that is cut at both ends of its fragment may have left for the fragment before: the second cut stays as it is
+    gone = F.lag("splits").over(w) & F.col("credible") & (F.size("grid") - F.col("header_rows") == 1)
+    df = df.withColumn("unmerged", F.col("splits") & F.coalesce(gone, F.lit(False)))
+    df = df.withColumn("splits", F.col("splits") & ~F.col("unmerged"))
+    merged = F.zip_with(left, right, lambda x, y: text.merge_cells(x, y, markdown=False))
+    return df.withColumn("merged", F.when(F.col("splits"), merged))
+
+
+def _fixed_header(header: Column) -> Column:
+    return F.transform(header, text.join_header_fragment)
 
 
 def analyze(snaps: DataFrame) -> DataFrame:
     """Findings of all rules, numbered si-0001... per document in the order of rules and tables."""
-    df = pairs(snaps)
-    fixed = F.transform("header", text.join_header_fragment)
-    wrapped = df.where(F.col("header").isNotNull() & (fixed != F.transform("header", text.strip)))
-    flow = df.where("flow")
-    one, body = F.array("table_idx"), F.size("grid") - F.col("header_rows")
-    both = F.array("table_idx", "n.table_idx")
-    head, other = F.array_join("header", " "), F.array_join("n.header", " ")
-    only_header = flow.where(F.col("credible") & (body <= 0) & ~F.col("n.credible"))
-    inherits = flow.where(F.col("credible") & (body > 0) & ~F.col("n.credible") & (F.col("n.header_rows") == 0))
-    split = flow.where((body > 0) & (F.size("n.grid") > F.col("n.header_rows"))).where(
-        text.rows_continue(F.element_at("grid", -1), F.get(F.col("n.grid"), F.col("n.header_rows")))
-    )
-    split = split.where(~F.col("n.credible") | F.coalesce((head == other) | (ratio(head, other) >= SIMILAR), F.lit(False)))
-    split = split.where((F.size("n.grid") >= 2) | F.col("n.credible"))
-    got = only_header.unionByName(inherits).select("doc_id", F.col("n.table_idx").alias("table_idx"), F.lit(True).alias("_got"))
-    bare = snaps.where(~F.col("credible")).join(got, ["doc_id", "table_idx"], "left").where(F.col("_got").isNull())
-    found = _finding(wrapped, "wrapped_header_fragments", "repaired_high_confidence", 1, one)
-    found = found.unionByName(_finding(only_header, "header_only_fragment_continuation", "repaired_high_confidence", 2, both))
-    found = found.unionByName(_finding(inherits, "missing_continuation_header", "repaired_high_confidence", 3, both))
-    found = found.unionByName(_finding(split, "explicit_row_split", "repaired_high_confidence", 4, both))
-    found = found.unionByName(_finding(bare, "synthetic_numeric_headers", "review_required", 5, one))
+    df = pairs(snaps).withColumn("_got", F.coalesce(F.lag("inherits").over(scans.ordered("doc_id", "table_idx")), F.lit(False)))
+    one, both = F.array("table_idx"), F.array("table_idx", "n.table_idx")
+    only_header = F.size("grid") <= F.col("header_rows")
+    inherits, credible = F.col("inherits"), F.col("credible")
+    rules = [
+        (credible & (_fixed_header(F.col("header")) != F.transform("header", text.strip)), "wrapped_header_fragments", "repaired_high_confidence", 1, one),
+        (F.col("flow") & ~F.col("fits"), "ambiguous_table_boundary", "review_required", 2, both),
+        (F.col("repeats"), "repeated_continuation_header", "verified", 3, both),
+        (inherits & only_header, "header_only_fragment_continuation", "repaired_high_confidence", 4, both),
+        (inherits & ~only_header, "missing_continuation_header", "repaired_high_confidence", 5, both),
+        (F.col("splits"), "explicit_row_split", "repaired_high_confidence", 6, both),
+        (F.col("unmerged"), "explicit_row_split", "review_required", 6, both),
+        (~credible & ~F.col("_got"), "synthetic_numeric_headers", "review_required", 7, one),
+    ]
+    found = df.select("doc_id", "table_idx", F.explode(F.array_compact(F.array(*(F.when(test, _finding(*rule)) for test, *rule in rules)))).alias("f"))
+    found = found.select("doc_id", "f.rule", "table_idx", "f.category", "f.status", "f.tables", "f.blocks_llm_readiness")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("rule", "table_idx"))
     return found.withColumn("finding_id", F.format_string("si-%04d", turn))
 
 
 def repaired_grids(snaps: DataFrame) -> DataFrame:
-    """(doc_id, table_idx, rows): tables after inheriting the header of the fragment before; the input stays as it is."""
+    """(doc_id, table_idx, rows, inherited): tables with all repairs that analyze() reports; the input stays as it is.
+
+    Wrapped header cells are joined, a fragment inherits the header of the one before, and a row that the page break cut is
+    merged into the last row of the first fragment and leaves the second.
+    """
     w = scans.ordered("doc_id", "table_idx")
-    df = pairs(snaps).withColumn("_prev", F.lag(F.struct("flow", "credible", "header")).over(w))
-    inherits = F.coalesce(F.col("_prev.flow") & F.col("_prev.credible") & ~F.col("credible") & (F.col("header_rows") == 0), F.lit(False))
-    rows = F.when(inherits, F.concat(F.array("_prev.header"), F.col("grid"))).otherwise(F.col("grid"))
+    df = pairs(snaps).withColumn("_prev", F.lag(F.struct("inherits", "splits", "merged", "header")).over(w))
+    inherits, cut = (F.coalesce(F.col(c), F.lit(False)) for c in ("_prev.inherits", "_prev.splits"))
+    head_rows = F.when(F.col("credible"), F.col("header_rows")).otherwise(0)
+    n = F.size("grid")
+
+    def row(v: Column, i: Column) -> Column:
+        return F.when(F.col("credible") & (i == head_rows - 1), _fixed_header(v)).when(F.col("splits") & (i == n - 1), F.col("merged")).otherwise(v)
+
+    rows = F.transform("grid", row)
+    rows = F.when(cut, F.concat(F.slice(rows, F.lit(1), head_rows), F.slice(rows, head_rows + 2, F.greatest(n - head_rows - 1, F.lit(0))))).otherwise(rows)
+    rows = F.when(inherits, F.concat(F.array("_prev.header"), rows)).otherwise(rows)
     return df.select("doc_id", "table_idx", rows.alias("rows"), inherits.alias("inherited"))
 
 

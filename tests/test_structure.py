@@ -157,6 +157,42 @@ def test_integrity_rules(spark, a, b, page_b, want):
         assert fixed[1] == [HEAD, ["c", "d"], ["e", "f"]] and snaps.where("table_idx = 1").first().grid == [["c", "d"], ["e", "f"]]
 
 
+def test_every_finding_of_a_page_break_and_its_repair(spark):
+    """Columns that don't fit, repeated headers, split rows and wrapped headers: reported, and done where so reported."""
+    def run(a, b):
+        snaps = fragments(spark, a, b)
+        found = integrity.analyze(snaps)
+        got = [(x.category, x.status, x.tables) for x in found.orderBy("finding_id").collect()]
+        rows = [x.rows for x in integrity.repaired_grids(snaps).orderBy("table_idx").collect()]
+        return got, rows, integrity.report(snaps, found).first().readiness
+
+    got, rows, readiness = run(([HEAD, ["a", "b"]], True), ([["Key", "Value", "Note"], ["c", "d", "e"]], True))
+    assert got == [("ambiguous_table_boundary", "review_required", [0, 1])] and readiness == "review_required"
+    assert rows == [[HEAD, ["a", "b"]], [["Key", "Value", "Note"], ["c", "d", "e"]]]
+    got, rows, readiness = run(([HEAD, ["a", "b"]], True), ([["key", "Description:"], ["c", "d"]], True))
+    assert got == [("repeated_continuation_header", "verified", [0, 1])] and readiness == "ready"
+    got, rows, _ = run(([HEAD, ["a_", "b"]], True), ([HEAD, ["c", "d"], ["e", "f"]], True))
+    assert [x[0] for x in got] == ["repeated_continuation_header", "explicit_row_split"] and rows == [[HEAD, ["a_c", "b d"]], [HEAD, ["e", "f"]]]
+    got, rows, _ = run(([HEAD, ["a", "b"]], True), ([["", "d"], ["e", "f"]], False))
+    assert [x[0] for x in got] == ["missing_continuation_header", "explicit_row_split"] and rows == [[HEAD, ["a", "b d"]], [HEAD, ["e", "f"]]]
+    got, rows, _ = run(([["Alert", "Threshol d"], ["c", "d"]], True), ([HEAD, ["x", "y"]], True))
+    assert [x[:2] for x in got] == [("wrapped_header_fragments", "repaired_high_confidence")] and rows[0] == [["Alert", "Threshold"], ["c", "d"]]
+
+
+def test_a_row_cut_twice_loses_nothing(spark):
+    rows = [[HEAD, ["a_", "b"]], [HEAD, ["c_", "d"]], [HEAD, ["e", "f"]]]
+    cells, tables = [], []
+    for t, own in enumerate(rows):
+        tables.append((1, t, f"#/tables/{t}", t + 1, 760.0, 40.0, 2, 2, 800.0, 500.0))
+        cells += [(1, t, v, i, i + 1, j, j + 1, i == 0, 50.0 * j, 50.0 * j + 40) for i, r in enumerate(own) for j, v in enumerate(r)]
+    ts = spark.createDataFrame(tables, "doc_id int, table_idx int, ref string, page int, top double, bottom double, num_rows int, num_cols int, page_height double, page_width double")
+    cs = spark.createDataFrame(cells, "doc_id int, table_idx int, text string, start_row int, end_row int, start_col int, end_col int, column_header boolean, left double, right double")
+    snaps = integrity.snapshots(ts, cs)
+    splits = [(x.status, x.tables) for x in integrity.analyze(snaps).where("category = 'explicit_row_split'").orderBy("finding_id").collect()]
+    assert splits == [("repaired_high_confidence", [0, 1]), ("review_required", [1, 2])]
+    assert [x.rows for x in integrity.repaired_grids(snaps).orderBy("table_idx").collect()] == [[HEAD, ["a_c_", "b d"]], [HEAD], [HEAD, ["e", "f"]]]
+
+
 def test_grid_expands_spans_and_the_last_cell_wins(spark):
     cells = spark.createDataFrame([(1, 0, "wide", 0, 1, 0, 2, True, 0), (1, 0, "x", 1, 2, 0, 1, False, 1), (1, 0, "y", 1, 2, 1, 2, False, 2), (1, 0, "z", 1, 2, 1, 2, False, 3)], "doc_id int, table_idx int, text string, start_row int, end_row int, start_col int, end_col int, column_header boolean, cell_ord int")
     assert [(x["values"], x.is_header) for x in integrity.grid(cells).orderBy("row").collect()] == [(["wide", "wide"], True), (["x", "z"], False)]
