@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scans, text
 
-DEEPEST = 30
+#: A tree of references deeper than this raises an error; nothing is cut off.
+DEEPEST = 1000
 
 
 def reading_order(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """(doc_id, ref, depth, path): depth-first order of a tree of references; each ref once, at its first place.
 
-    ``edges``: doc_id, parent (null at the root), ref, pos. One equi-join for each level of the tree; depths are small
-    and bounded, so no row-by-row recursion is needed. Sort by path.
+    ``edges``: doc_id, parent (null at the root), ref, pos. One equi-join for each level of the tree, until a level
+    adds nothing; a reference back to one of its own ancestors is not followed. Sort by path.
     """
     e = edges.select("doc_id", "parent", "ref", F.format_string("%06d", F.col("pos").cast("int")).alias("_p"))
     level = e.where("parent is null").select("doc_id", "ref", F.lit(0).alias("depth"), F.col("_p").alias("path"))
@@ -27,11 +28,11 @@ def reading_order(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     e.createOrReplaceTempView(name)
     level.createOrReplaceTempView(f"{name}_root")
     walked = spark.sql(f"""
-        with recursive walk(doc_id, ref, depth, path) max recursion level {deepest} as (
-          select doc_id, ref, depth, path from {name}_root
+        with recursive walk(doc_id, ref, depth, path, above) max recursion level {deepest} as (
+          select doc_id, ref, depth, path, array(ref) from {name}_root
           union all
-          select e.doc_id, e.ref, w.depth + 1, concat(w.path, '/', e._p) from walk w join {name} e on e.doc_id = w.doc_id and e.parent = w.ref where w.depth < {deepest - 1})
-        select * from walk""")
+          select e.doc_id, e.ref, w.depth + 1, concat(w.path, '/', e._p), concat(w.above, array(e.ref)) from walk w join {name} e on e.doc_id = w.doc_id and e.parent = w.ref where not array_contains(w.above, e.ref))
+        select doc_id, ref, depth, path from walk""")
     return walked.groupBy("doc_id", "ref").agg(F.min_by("depth", "path").alias("depth"), F.min("path").alias("path"))
 
 

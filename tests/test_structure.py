@@ -51,6 +51,13 @@ def test_reading_order_walks_groups_and_takes_each_ref_once(spark):
     assert [x.ref for x in got] == ["a", "g", "b", "h", "c", "z"]
 
 
+def test_reading_order_does_not_cut_deep_trees(spark):
+    """A text below 34 groups is read; a reference back to an ancestor ends its branch."""
+    edges = [(1, f"g{i - 1}" if i else None, f"g{i}", 0) for i in range(34)] + [(1, "g33", "text", 0), (1, "g33", "g1", 1)]
+    got = B.reading_order(spark.createDataFrame(edges, "doc_id int, parent string, ref string, pos int")).orderBy("path").collect()
+    assert [(x.ref, x.depth) for x in got] == [*((f"g{i}", i) for i in range(34)), ("text", 34)]
+
+
 def items(spark, rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id int, ord int, label string, level int, text string")
 
