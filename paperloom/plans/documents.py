@@ -1,4 +1,4 @@
-"""The whole run as one plan: text documents or document graphs to chunks, queue and gates."""
+"""The run as one plan: text documents or document graphs to chunks, queue and gates; the README names what it leaves out."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ def run_markdown(docs: DataFrame, results: DataFrame | None = None, limit: int =
 
 
 def run_graphs(graphs: DataFrame, results: DataFrame | None = None, limit: int = C.MAX_TOKENS, use_repaired_tables: bool = False) -> Outputs:
-    """Document graphs (readers.read_graphs) through reading order, typing, table integrity, pictures, chunks and gates."""
+    """Document graphs (readers.read_graphs) through reading order, typing, table integrity, places of pictures, chunks and gates."""
     order = B.reading_order(readers.graph_edges(graphs))
     items = readers.graph_items(graphs).join(order, ["doc_id", "ref"]).withColumn("ord", F.row_number().over(B.scans.ordered("doc_id", "path")) - 1)
     items = staged(items, "items")
