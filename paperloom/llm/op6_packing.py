@@ -63,7 +63,7 @@ class Ids:
         for w in new:
             if w[-1] in _PUNCTUATION and b"<|" not in w:
                 base = w.rstrip(_PUNCTUATION)
-                if base and base[-1] < 0x80:
+                if base[-1:].isalnum():  # of bytes: ASCII only
                     parts[w] = base, w[len(base) :]
         whole = [*(new.difference(parts) | {*chain.from_iterable(parts.values())}.difference(self.row))]
         if whole:

@@ -12,7 +12,7 @@ from tests.conftest import comparable, oracle_rows
 
 def mixed_texts(n, seed=1):
     r = random.Random(seed)
-    bits = ["a", "the", " ", "  ", "é", "漢", "🙂", "\n", "\t", "ion", "x", "z1", "ß", "'s", "'ll", "12", "!!", "<|endoftext|>", "THE,", "ц", " ", "\x85", "é", "«", ".", "Ω"]
+    bits = ["a", "the", " ", "  ", "é", "漢", "🙂", "\n", "\t", "ion", "x", "z1", "ß", "'s", "'ll", "12", "!!", "<|endoftext|>", "THE,", "ц", " ", "\x85", "é", "«", ".", "Ω", "\x00", "\x08", "\x1f", "\x7f", "?"]
     return ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(n)]
 
 
@@ -63,6 +63,19 @@ def test_unknown_run_is_one_piece_without_bytes():
     assert c("abba") == (4, 2)
 
 
+def test_packing_ids_of_short_texts_with_control_characters():
+    from tokenizers import Tokenizer
+
+    path = vocabulary(op6_packing.VOCABULARY)
+    library, ids = Tokenizer.from_file(path), op6_packing.Ids(path, most=2000)
+    r = random.Random(12)
+    bits = [*map(chr, range(128)), "A", "z", "'", "é", "e\u0301", "Σ", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0338", "\u00a0", "漢", "²", "'s", "'LL", "\u200d"]
+    texts = ["a\x00!", "hello\x08.", "abc\x7f.", "x\x1f?", *("".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(20_000))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for t, own, known in zip(texts, ids.batch([t.encode() for t in texts]), want):
+        assert own.tolist() == [*known, 1], t
+
+
 def test_packing_cuts_every_document_once(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
