@@ -3,12 +3,17 @@
 Fingerprints: 4-word shingles, XXH64 with seed 42, one bit a position by majority. Equal fingerprints are merged first,
 with map-side combining, so a group of copies however large is one row from there on.
 
-Candidates: two fingerprints at 4 or fewer differing bits agree in full on at least two of six bit blocks, so each
-distinct fingerprint is filed under its 15 pairs of blocks (20 to 22 bits). Within a file, rows are sorted by their
-distance to the first pivot; by the triangle inequality a partner lies in a window of 4 on that coordinate, and every
-further pivot discards the pairs whose coordinates differ by more than 4. Survivors are verified by exact Hamming
-distance. A file that holds more than HOT_ROWS distinct fingerprints is filed again under sub-blocks of the bits that
-are left (of five, one must agree), and what is still too large is cut into cells of bounded size. No case is dropped.
+Pivots: each fingerprint's Hamming distances to 64 reference fingerprints, the rows of a Hadamard code, are a table. By
+the triangle inequality two fingerprints within 4 bits differ by at most 4 in every coordinate, so a pair is discarded by
+its largest difference. The squares of the differences of a pair at d bits sum to 64 d: one of them is at least the root
+of d, and every pair at more than 16 bits is discarded before its distance is taken. Survivors are verified exactly.
+
+Candidates: a table alone would compare all rows with all, and cannot be an index either, as a coordinate has a standard
+deviation of 4 and a window of 4 around it holds two thirds of all rows. So pairs are only formed inside files: two
+fingerprints within 4 bits agree in full on at least two of six bit blocks, and each distinct fingerprint is filed under
+its 15 pairs of blocks (20 to 22 bits). Within a file rows are sorted by the first coordinate and meet inside its window.
+A file that holds more than HOT_ROWS distinct fingerprints is filed again under sub-blocks of the bits that are left (of
+five, one must agree), and what is still too large is cut into cells of bounded size. No case is dropped.
 
 Only a spanning forest of each file's links leaves the search; components come from star rounds written to the
 shared folder.
@@ -16,6 +21,9 @@ shared folder.
 Nulls and empty texts have the fingerprint zero and link like any other. A null doc_id keeps its fingerprint, gets the
 component of its group and never names one (null where the group has no id). Repeated rows give a row each. Only doc_id
 and text are read, so other columns cannot clash. An empty table gives no rows.
+
+A component of very many fingerprints, or a fingerprint of very many rows, is one key of a join with a row per key; such
+a join splits by the planner's skew join (spark.sql.adaptive.skewJoin, on by default), as its other side is never large.
 """
 
 from __future__ import annotations
@@ -50,8 +58,8 @@ def _signed(x: int) -> int:
 MASKS = [a | b for a, b in combinations(_blocks(list(range(64)), MOST_BITS + 2), 2)]
 #: For each of them, five wider masks of which one must agree as well.
 FINER = [[m | s for s in _blocks([b for b in range(64) if not m >> b & 1], MOST_BITS + 1)] for m in MASKS]
-#: Reference fingerprints: rows of a Hadamard code, whose pairwise distance is 32 bits, so coordinates are independent.
-PIVOTS = np.array([sum((bin(i & j).count("1") & 1) << j for j in range(64)) for i in range(0, 64, 8)], np.uint64)
+#: Reference fingerprints: rows of a Hadamard code, pairwise 32 bits apart, in an order in which any first few depend on all bits.
+PIVOTS = np.array([sum((bin(i & j).count("1") & 1) << j for j in range(64)) for i in sorted(range(64), key=lambda i: i * 37 % 64)], np.uint64)
 
 
 def fingerprint(text: bytes) -> int:
@@ -76,42 +84,59 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys`` (doc_id by default) and fp (the fingerprint's bits as a signed long) of each row."""
     ship(docs.sparkSession)
+    own = docs.select(*keys, "text") if keys else spread(docs)
+    keys = keys or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in as_bytes(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fp, pa.int64())], names=[*keys, "fp"])
+
+    return own.mapInArrow(run, ", ".join([f"{k} {own.schema[k].dataType.simpleString()}" for k in keys] + ["fp long"]))
+
+
+def coordinates(fp: np.ndarray) -> np.ndarray:
+    """(pivots, rows) Hamming distances of fingerprints to the pivots."""
+    return np.bitwise_count(fp[None, :] ^ PIVOTS[:, None]).astype(np.int8)
 
-    return spread(docs).mapInArrow(run, "doc_id long, fp long")
 
+def links(group: np.ndarray, fp: np.ndarray, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within 4 bits among rows of equal ``group``: pivot window, further pivots, exact distance.
 
-def links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within 4 bits among rows of equal ``group``: pivot window, further pivots, exact distance."""
-    table_ = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
-    at = group.astype(np.int64) * 256 + table_[:, 0]
+    ``counts`` gets how many pairs the groups hold, how many each step leaves, and how many are links.
+    """
+    first = np.bitwise_count(fp ^ PIVOTS[0]).astype(np.int64)
+    at = group.astype(np.int64) * 256 + first
     order = np.argsort(at, kind="stable")
-    at, fp, table_ = at[order], fp[order], table_[order]
+    at, fp = at[order], fp[order]
+    pivots = coordinates(fp)
     ends = np.searchsorted(at, at + MOST_BITS, "right")
-    counts = ends - np.arange(len(at)) - 1
-    total = np.concatenate([[0], np.cumsum(counts)])
+    partners = ends - np.arange(len(at)) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
     left, right = [], []
-    i = 0
+    i = survivors = 0
     while i < len(at):
         j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS_AT_ONCE, "right")) - 1)
-        n = counts[i:j]
+        n = partners[i:j]
         a = np.repeat(np.arange(i, j), n)
         b = np.arange(len(a)) - np.repeat(total[i:j] - total[i], n) + a + 1
-        for p in range(1, len(PIVOTS)):
-            near = np.abs(table_[a, p] - table_[b, p]) <= MOST_BITS
+        for column in pivots[1:]:
+            near = np.abs(column[a] - column[b]) <= MOST_BITS
             a, b = a[near], b[near]
+        survivors += len(a)
         true = np.bitwise_count(fp[a] ^ fp[b]) <= MOST_BITS
         left.append(order[a[true]])
         right.append(order[b[true]])
         i = j
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+    a, b = (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+    if counts is not None:
+        size = np.unique(group, return_counts=True)[1]
+        for k, n in (("filed", int((size * (size - 1) // 2).sum())), ("window", int(total[-1])), ("pivots", survivors), ("links", len(a))):
+            counts[k] = counts.get(k, 0) + n
+    return a, b
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +182,20 @@ def fingerprint_links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search, "a long, b long")
 
 
-def components_of(fp_docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """fp, component_id for each distinct fp of ``fp_docs`` (doc_id, fp)."""
-    least = written(fp_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
+def _rooted(least: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``least`` (fp, first) that link with nothing, and the others with the root of their component."""
     roots = components(fingerprint_links(least.select("fp"), hot_rows))
     named = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = named.join(roots.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left")
-    alone = linked.where(F.col("_r").isNull()).select("fp", F.col("first").alias("component_id"))
-    groups = linked.where(F.col("_r").isNotNull())
+    return linked.where(F.col("_r").isNull()).select("fp", "first"), linked.where(F.col("_r").isNotNull()).select("fp", "first", "root")
+
+
+def components_of(fp_docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """fp, component_id for each distinct fp of ``fp_docs`` (doc_id, fp)."""
+    least = written(fp_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
+    alone, groups = _rooted(least, hot_rows)
     ids = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    return alone.unionByName(groups.select("fp", "root").join(ids, "root").select("fp", "component_id"))
+    return alone.withColumnRenamed("first", "component_id").unionByName(groups.select("fp", "root").join(ids, "root").select("fp", "component_id"))
 
 
 def simhash(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -176,14 +205,22 @@ def simhash(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return fp.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, one of each id; rows without an id stay."""
+def keep_first(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row of each component of ``docs``, with the columns of documents.
+
+    It is the row of smallest doc_id (rows without one come last), then of smallest text hash, then of smallest lang,
+    source and n_chars. Each row is judged by its own text: an id that stands on several texts is in several components
+    and may stay once in each.
+    """
     docs = docs.select(*DOC_COLUMNS)
-    gone = simhash(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    left = left.withColumn("_turn", turn).where("_turn = 1").select(*DOC_COLUMNS)
-    return left.unionByName(docs.where("doc_id is null"))  # rows without an id, however many, are not shuffled
+    marked = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    key = ["_none", "_id", "_hash"]
+    least = fingerprints(marked, key).groupBy("fp").agg(F.min(F.struct(*key)).alias("first"))
+    alone, groups = _rooted(written(least, "simhash"), hot_rows)
+    chosen = alone.select("first").unionByName(groups.groupBy("root").agg(F.min("first").alias("first")).select("first"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("lang", "source", "n_chars"))
+    once = marked.withColumn("_turn", turn).where("_turn = 1")
+    return once.join(chosen.select("first.*"), key, "left_semi").select(*DOC_COLUMNS)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

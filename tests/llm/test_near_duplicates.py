@@ -100,11 +100,46 @@ def test_simhash_of_odd_rows(spark, odd_docs, no_docs):
     assert by[5].component_id == by[6].component_id == 5
     null = next(r for r in rows if r.doc_id is None)  # the same text as document 9
     assert null.component_id == 9 == by[9].component_id
-    kept = sorted(r.doc_id for r in op4_simhash.keep_first(odd_docs).where("doc_id is not null").collect())
-    assert kept == sorted({r.component_id for r in rows}) and op4_simhash.keep_first(odd_docs).where("doc_id is null").count() == 1
+    kept = sorted(r.doc_id for r in op4_simhash.keep_first(odd_docs).collect())  # the row without an id is a copy of 9's
+    assert kept == sorted({r.component_id for r in rows})
     assert op4_simhash.simhash(no_docs).count() == 0 and op4_simhash.keep_first(no_docs).count() == 0
 
 
+def test_pivots_discard_all_but_near_pairs():
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1500, dtype=np.uint64)
+    for i in range(0, 300, 2):  # partners at 0 to 12 bits
+        fp[i + 1] = fp[i] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, i % 13, replace=False)))
+    group = np.repeat(np.arange(3), 500)
+    table = op4_simhash.coordinates(fp).astype(int)
+    assert len(set(map(int, op4_simhash.PIVOTS))) == 64 == len(table)
+    x, y = np.triu_indices(1500, 1)
+    d = np.bitwise_count(fp[x] ^ fp[y]).astype(int)
+    spread = table[:, x[::997]] - table[:, y[::997]]
+    assert ((spread**2).sum(0) == 64 * d[::997]).all()  # so every pair above 16 bits differs by more than 4 somewhere
+    counts = {}
+    a, b = op4_simhash.links(group, fp, counts)
+    near = (d <= 4) & (group[x] == group[y])
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == set(zip(x[near].tolist(), y[near].tolist()))
+    assert counts["filed"] == 3 * 500 * 499 // 2 > counts["window"] > 1000 * counts["pivots"] and counts["pivots"] <= int(((d <= 16) & (group[x] == group[y])).sum()) and counts["links"] == near.sum()
+
+
+def test_every_component_keeps_one_row(spark):
+    """One id on two texts, an id that names another component, rows without an id, repeated rows."""
+    r = np.random.default_rng(4)
+    words = [" ".join(r.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], 30)) for _ in range(6)]
+    a, b, c, d, e, f = words
+    rows = [(3, b), (5, a), (9, a), (5, b), (20, c), (20, d), (None, e), (None, e), (None, c), (7, f), (7, f), (7, None), (8, ""), (None, None)]
+    rows = [(i, t, lang, None, None) for (i, t), lang in zip(rows, "de en fr es de en fr es de en fr es de en".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = sorted(((x.doc_id, x.text, x.lang) for x in op4_simhash.keep_first(docs).collect()), key=str)
+    fp = [brute_fingerprint(t) for _, t, *_ in rows]
+    group = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 4])
+    assert len(kept) == len(set(group)) == 7
+    assert kept == sorted([(3, b, "de"), (5, a, "en"), (20, c, "de"), (20, d, "en"), (None, e, "es" if "es" < "fr" else "fr"), (7, f, "en"), (7, None, "es")], key=str)
+    assert kept == sorted(((x.doc_id, x.text, x.lang) for x in op4_simhash.keep_first(docs.repartition(2)).collect()), key=str)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n long, a long, id long, copies long, v string")
 
