@@ -2,14 +2,20 @@
 
 A word's embedding is the sum of hashed embeddings of the word and of its first 4, 5 and 6 characters. Filters of widths
 1, 2 and 3 run over the word sequence, each is max-pooled over the whole text, and a dense layer gives the logit. As the
-pool is a maximum, a text of any length is scored in pieces that overlap, with the same result and bounded memory.
-
-Learning reads labels only from rows with crc32(doc_id as text) % 4 <> 2, at most POSITIVES and NEGATIVES of them, the
-first by hash of doc_id (documented bounds; scoring has none). A fifth of these rows only calibrates: for each language,
-guessed from the text's function words (never from ``lang``), the threshold of best F1 is moved to the score 0.3.
-
-A null or empty text is scored from the bias alone. A null doc_id is held out. Repeated rows give a row each. Without
-labelled rows of both classes every score is 0.1. Only doc_id, text and the labels are read; other columns cannot clash.
+pool is a maximum, a text of any length is scored in pieces: each window belongs to the piece in which it begins and
+reads on into the next, so the size of the pieces changes no score. No window spans two texts.
+
+Learning reads labels only from rows with crc32(doc_id as text) % 4 <> 2. Documented bounds of the sample (scoring has
+none): at most POSITIVES and NEGATIVES rows, the first by hash of doc_id, and of each class at most SAMPLE_BYTES / 2 of
+text, a row that would go beyond it being left out. At every size, updates of BATCH rows are made until STEPS of them or a
+pass over the rows whose mean loss is under LEARNED. A fifth of the rows, fold 0, only calibrates: for each language,
+guessed from the text's function words (never from ``lang``), the threshold of best F1 is moved to the score 0.3; a
+language with under ENOUGH rows of a class takes the threshold of all rows, and without rows of both classes in the fold
+that is the logit 0.
+
+A null or empty text is scored from the bias alone. A null doc_id is held out. Repeated rows give a row each; where a
+labelled id stands on several texts the least is learned from. Without labelled rows of both classes outside the fold
+every score is 0.1. Only doc_id, text and the labels are read; other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, as_bytes, held_out_column, ship, spread, table
 
-POSITIVES, NEGATIVES = 3000, 5000
+POSITIVES, NEGATIVES, SAMPLE_BYTES, ENOUGH = 3000, 5000, 64 << 20, 8
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 12, 8, (1, 2, 3)
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY, LEARNED = 1200, 32, 0.02, 1e-4, 0.01
 CUT = 0.3
 PIECE_WORDS = 1 << 15
 PREFIXES = (4, 5, 6)
@@ -120,7 +126,7 @@ def read(model: Model, texts: list[bytes], words: Words) -> tuple[np.ndarray, np
     """Logit and language of each whole text."""
     pooled = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
     votes = np.zeros((len(texts), len(_TONGUES)))
-    queue: list[tuple[int, list[bytes]]] = []
+    queue: list[tuple[int, list[bytes], int]] = []
     held = 0
 
     def flush() -> None:
@@ -128,17 +134,18 @@ def read(model: Model, texts: list[bytes], words: Words) -> tuple[np.ndarray, np
         if not queue:
             return
         flat: list[bytes] = []
-        starts = []
-        for _, part in queue:
-            starts.append(len(flat))
+        edges = []
+        for _, part, own in queue:
+            edges += (len(flat), len(flat) + own)
             flat += part
             flat += (b"", b"")  # windows end here
         ids = words.rows(flat)
         used, ids = np.unique(ids, return_inverse=True)
         x = model.e[words.features(used)].sum(axis=1) @ model.w
-        top = np.maximum.reduceat(model.responses(x[ids]), starts)
-        v = np.add.reduceat(words.votes(used)[ids], starts)
-        for k, (doc, _) in enumerate(queue):
+        # every other range: the windows that begin in a piece, and what lies between pieces
+        top = np.maximum.reduceat(model.responses(x[ids]), edges)[::2]
+        v = np.add.reduceat(words.votes(used)[ids], edges)[::2]
+        for k, (doc, _, _) in enumerate(queue):
             pooled[doc] = np.maximum(pooled[doc], top[k])
             votes[doc] += v[k]
         queue.clear()
@@ -151,7 +158,7 @@ def read(model: Model, texts: list[bytes], words: Words) -> tuple[np.ndarray, np
         pooled[doc] = -np.inf if ws else -model.b
         for i in range(0, len(ws), PIECE_WORDS):
             part = ws[i : i + PIECE_WORDS + max(WIDTHS) - 1]
-            queue.append((doc, part))
+            queue.append((doc, part, min(PIECE_WORDS, len(ws) - i)))
             held += len(part)
             if held >= PIECE_WORDS:
                 flush()
@@ -160,7 +167,7 @@ def read(model: Model, texts: list[bytes], words: Words) -> tuple[np.ndarray, np
 
 
 def _thresholds(logit: np.ndarray, tongue: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Threshold of best F1 for each language (middle of the best range); that of all rows where a class has under 8."""
+    """Threshold of best F1 for each language (middle of the best range); that of all rows where a class has under ENOUGH."""
 
     def best(z: np.ndarray, t: np.ndarray) -> float:
         if not len(t) or t.min() == t.max():
@@ -175,7 +182,7 @@ def _thresholds(logit: np.ndarray, tongue: np.ndarray, y: np.ndarray) -> np.ndar
     out = np.full(len(_TONGUES) + 1, best(logit, y))
     for i in range(len(_TONGUES)):
         own = tongue == i
-        if min(y[own].sum(), (1 - y[own]).sum()) >= 8:
+        if min(y[own].sum(), (1 - y[own]).sum()) >= ENOUGH:
             out[i] = best(logit[own], y[own])
     return out
 
@@ -184,7 +191,7 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
     """Learn from (fold, text, label) rows: fold 0 of 5 calibrates. None unless both classes are there."""
     rng = np.random.default_rng(seed)
     words = Words(most=1 << 60)
-    learn = [(words.rows(t.split()), y) for k, t, y in rows if k or len(rows) < 100]
+    learn = [(words.rows(t.split()), y) for k, t, y in rows if k]
     y = np.array([y for _, y in learn], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -210,9 +217,9 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
     tap = np.cumsum([0, *(FILTERS * k for k in WIDTHS)])
     dense = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in "wbv"}
     g2 = np.full(BUCKETS, 1e-3, np.float32)
-    step = 0
-    for _ in range(EPOCHS if len(y) >= 1000 else 3 * EPOCHS):
-        order = rng.permutation(len(y))
+    step, loss = 0, np.inf
+    while step < STEPS and loss >= LEARNED:
+        order, loss = rng.permutation(len(y)), 0.0
         for i in range(0, len(y), BATCH):
             step += 1
             docs = [d for d in order[i : i + BATCH] if len(learn[d][0])]
@@ -227,6 +234,7 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
             pooled = np.take_along_axis(r, arg, axis=0) + m.b
             h = np.maximum(pooled, 0)
             p = 1 / (1 + np.exp(-(h @ m.v + m.c)))
+            loss -= float(np.log(np.maximum(np.where(y[docs] > 0, p, 1 - p), 1e-9)).sum()) / len(y)
             dz = ((p - y[docs]) * weight[docs] / len(docs)).astype(np.float32)
             dv = h.T @ dz + DECAY * m.v
             dh = dz[:, None] * m.v * (pooled > 0)
@@ -256,23 +264,37 @@ def train(rows: list[tuple[int, bytes, int]], seed: int = 11) -> Model | None:
                 q += 0.01 * (d * d - q)
                 getattr(m, k)[...] -= RATE / 4 * (a / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-6)
             m.c -= RATE * float(dz.sum())
-    fit = [(t, y) for k, t, y in rows if not k or len(rows) < 100]
+    fit = [(t, y) for k, t, y in rows if not k]
     logit, tongue = read(m, [t for t, _ in fit], Words())
     m.shift = _thresholds(logit, tongue, np.array([y for _, y in fit]))
     return m
 
 
+def _within(sizes: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Label by doc_id of (doc_id, label, bytes) rows in order, as far as their class's half of SAMPLE_BYTES goes."""
+    out, left = {}, [SAMPLE_BYTES // 2] * 2
+    for doc, label, size in sizes:
+        if size <= left[label]:
+            left[label] -= size
+            out[doc] = label
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Learn from the labelled rows that are not held out; the sample's bounds are POSITIVES and NEGATIVES."""
+    """Learn from the labelled rows that are not held out; the sample's bounds are POSITIVES, NEGATIVES and SAMPLE_BYTES."""
+    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     own = own.where(~held_out_column(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = F.xxhash64(F.col("doc_id"), F.lit(2))
     chosen = own.where("toxic = 1").orderBy(turn, "doc_id").limit(POSITIVES).unionByName(own.where("toxic = 0").orderBy(turn, "doc_id").limit(NEGATIVES))
-    # at most POSITIVES + NEGATIVES ids, so they may be broadcast
-    found = spread(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # at most POSITIVES + NEGATIVES ids, so they may be broadcast, and their sizes collected
+    sizes = spread(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
+    label = _within([(r.doc_id, r.toxic, r.size or 0) for r in sizes.orderBy(turn, "doc_id").collect()])
+    ids = spark.createDataFrame([(i,) for i in label], "doc_id long")
+    found = spread(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     fold = (F.crc32(F.col("doc_id").cast("string")) / 4).cast("long") % 5
-    rows = found.select("doc_id", fold.cast("int").alias("fold"), "text", "toxic").toArrow().sort_by("doc_id")
-    return train(list(zip(rows.column("fold").to_pylist(), as_bytes(rows.column("text")), rows.column("toxic").to_pylist())))
+    rows = found.select("doc_id", fold.cast("int").alias("fold"), "text").toArrow().sort_by("doc_id")
+    return train(list(zip(rows.column("fold").to_pylist(), as_bytes(rows.column("text")), (label[i] for i in rows.column("doc_id").to_pylist()))))
 
 
 def _scores(model: Model | None, texts: list[bytes], words: Words) -> np.ndarray:

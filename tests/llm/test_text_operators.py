@@ -180,14 +180,44 @@ def test_toxicity_learns_and_scores_odd_rows(spark, odd_docs, no_docs):
     assert op2_toxicity.keep_clean(odd_docs, none).count() == odd_docs.count()
 
 
-def test_toxicity_pieces_give_the_score_of_the_whole(monkeypatch):
+def brute_toxicity(model, text):
+    """Logit and language of one text, window by window."""
+    ws = text.split()
+    w = op2_toxicity.Words()
+    ids = w.rows(ws)
+    e = [model.e[w.features([i])[0]].sum(axis=0).astype(float) for i in ids]
+    z, at = float(model.c), 0
+    for k, width in enumerate(op2_toxicity.WIDTHS):
+        for f in range(op2_toxicity.FILTERS):
+            best = max((sum(e[i + j] @ model.w[:, at + j * op2_toxicity.FILTERS + f] for j in range(width) if i + j < len(ws)) for i in range(len(ws))), default=None)
+            n = k * op2_toxicity.FILTERS + f
+            z += 0 if best is None else max(best + model.b[n], 0) * model.v[n]
+        at += width * op2_toxicity.FILTERS
+    votes = [sum(w.decode().lower() in op2_toxicity.FUNCTION_WORDS[k].split() for w in ws) for k in op2_toxicity.FUNCTION_WORDS]
+    return z, votes.index(max(votes)) if any(votes) else len(votes)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 17, 1 << 15])
+def test_toxicity_scores_are_those_of_a_plain_convolution_at_any_piece_size(monkeypatch, size):
     r = random.Random(2)
-    rows = [(i % 5, " ".join(r.choice(["ab", "cd", "ef", "gh", "bad" if i % 2 else "ok"]) for _ in range(30)).encode(), i % 2) for i in range(60)]
-    model = op2_toxicity.train(rows)
-    text = b" ".join(t for _, t, _ in rows)
-    whole = op2_toxicity._scores(model, [text], op2_toxicity.Words())
-    monkeypatch.setattr(op2_toxicity, "PIECE_WORDS", 17)
-    assert np.allclose(whole, op2_toxicity._scores(model, [text], op2_toxicity.Words(most=3)))
+    pool = ["ab", "cd", "ef", "gh", "bad", "ok", "the", "of", "der", "une", "los", "abcdefgh"]
+    texts = [" ".join(r.choices(pool, k=n)).encode() for n in (0, 1, 2, 3, 4, 16, 17, 18, 19, 34, 35, 60) for _ in range(3)]
+    g = np.random.default_rng(3)
+    taps = op2_toxicity.FILTERS * sum(op2_toxicity.WIDTHS)
+    n = op2_toxicity.FILTERS * len(op2_toxicity.WIDTHS)
+    e = g.normal(0, 1, (op2_toxicity.BUCKETS, op2_toxicity.DIMS)).astype(np.float32)
+    e[0] = 0
+    model = op2_toxicity.Model(e, g.normal(0, 1, (op2_toxicity.DIMS, taps)).astype(np.float32), g.normal(-2, 1, n).astype(np.float32), g.normal(0, 1, n).astype(np.float32), 0.3, np.zeros(5))
+    monkeypatch.setattr(op2_toxicity, "PIECE_WORDS", size)
+    logit, tongue = op2_toxicity.read(model, texts, op2_toxicity.Words(most=3))
+    for t, z, k in zip(texts, logit, tongue):
+        want = brute_toxicity(model, t)
+        assert z == pytest.approx(want[0], rel=1e-4, abs=1e-3) and k == want[1]
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op2_toxicity, "SAMPLE_BYTES", 20)
+    assert op2_toxicity._within([(1, 1, 8), (2, 0, 11), (3, 1, 3), (4, 1, 2), (5, 0, 10), (6, 0, 1), (7, 1, 0)]) == {1: 1, 4: 1, 5: 0, 7: 1}
 
 
 def luhn(s):
