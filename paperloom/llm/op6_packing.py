@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +36,18 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Rows(dict):
+    """Numbers words as they come; ``new`` has those that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Ids:
     """Token ids of whole texts. Words are cut at ASCII white space, which no token of this vocabulary spans, and kept in a table emptied at ``most`` words."""
 
@@ -48,60 +60,67 @@ class Ids:
         self.reset()
 
     def reset(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.row = _Rows()
         self.flat = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 16, np.int64)
         self.size = np.empty(1 << 16, np.int64)
         self.end = 0
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Add what is not known. A word that ends in ASCII punctuation after an ASCII letter or digit is its two parts, which the vocabulary never merges."""
-        new = {*words}.difference(self.row)
-        if not new:
-            return
-        parts = {}
-        for w in new:
+    def _learn(self) -> None:
+        """Ids of the new words. One that ends in ASCII punctuation after an ASCII letter or digit is its two parts, which the vocabulary never merges."""
+        row, new = self.row, self.row.new
+        first = len(row) - len(new)
+        whole, own, joined, left, right = [], [], [], [], []
+        for i, w in enumerate(new):  # grows by the parts
             if w[-1] in _PUNCTUATION and b"<|" not in w:
                 base = w.rstrip(_PUNCTUATION)
                 if base[-1:].isalnum():  # of bytes: ASCII only
-                    parts[w] = base, w[len(base) :]
-        whole = [*(new.difference(parts) | {*chain.from_iterable(parts.values())}.difference(self.row))]
-        if whole:
-            self._append(whole, [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)])
-        if parts:
-            row, start, size, flat = self.row, self.start, self.size, self.flat
-            ends = [(row[a], row[z]) for a, z in parts.values()]
-            self._append([*parts], [[*flat[start[i] : start[i] + size[i]].tolist(), *flat[start[j] : start[j] + size[j]].tolist()] for i, j in ends])
-
-    def _append(self, new: list[bytes], found: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total, at = int(sizes.sum()), len(self.row)
-        while self.end + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while at + len(new) > len(self.start):
+                    joined.append(first + i)
+                    left.append(row[base])
+                    right.append(row[w[len(base) :]])
+                    continue
+            whole.append(w.decode("utf-8", "replace"))
+            own.append(first + i)
+        while len(row) > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        self.size[at : at + len(new)] = sizes
-        self.start[at : at + len(new)] = self.end + np.cumsum(sizes) - sizes
-        self.flat[self.end : self.end + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.end += total
-        self.row.update(zip(new, range(at, at + len(new))))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._append(own, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        if joined:
+            pairs = np.array([left, right], np.int64).T.ravel()
+            self._append(joined, self.size[pairs].reshape(-1, 2).sum(axis=1), self._gather(pairs))
+        new.clear()
+
+    def _append(self, rows: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.size[rows] = sizes
+        self.start[rows] = self.end + np.cumsum(sizes) - sizes
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.end += len(ids)
+
+    def _gather(self, rows: np.ndarray, more: int = 0) -> np.ndarray:
+        """Ids of words one after the other, and room for ``more``."""
+        size = self.size[rows]
+        before = np.cumsum(size) - size
+        total = int(size.sum())
+        out = np.empty(total + more, np.uint32)
+        out[:total] = self.flat[np.repeat(self.start[rows] - before, size) + np.arange(total)]
+        return out
 
     def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end token."""
         for i in range(0, len(texts), 256):
-            words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts[i : i + 256]]
             if len(self.row) > self.most:
                 self.reset()
-            self.learn(chain.from_iterable(words))
-            for ws in words:
-                row = np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws))
-                size = self.size[row]
-                before = np.cumsum(size) - size
-                total = int(size.sum())
-                out = np.empty(total + 1, np.uint32)
-                out[:total] = self.flat[np.repeat(self.start[row] - before, size) + np.arange(total)]
-                out[total] = END
+            words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts[i : i + 256]]
+            rows = [np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws)) for ws in words]
+            if self.row.new:
+                self._learn()
+            for own in rows:
+                out = self._gather(own, 1)
+                out[-1] = END
                 yield out
 
 
