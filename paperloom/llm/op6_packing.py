@@ -33,6 +33,8 @@ CHUNK = 1 << 21
 #: The vocabulary lowers case itself; lowered early, fewer distinct words are looked up. Its special tokens hold "<|" and are left alone.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A special token of the vocabulary: text on its sides is tokenized apart.
+_BETWEEN = b"<|startoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -70,28 +72,43 @@ class Ids:
         """Ids of the new words. One that ends in ASCII punctuation after an ASCII letter or digit is its two parts, which the vocabulary never merges."""
         row, new = self.row, self.row.new
         first = len(row) - len(new)
-        whole, own, joined, left, right = [], [], [], [], []
+        plain, own, odd, odd_own, joined, left, right = [], [], [], [], [], [], []
         for i, w in enumerate(new):  # grows by the parts
-            if w[-1] in _PUNCTUATION and b"<|" not in w:
+            if b"<|" in w:  # may hold a special token
+                odd.append(w.decode("utf-8", "replace"))
+                odd_own.append(first + i)
+                continue
+            if w[-1] in _PUNCTUATION:
                 base = w.rstrip(_PUNCTUATION)
                 if base[-1:].isalnum():  # of bytes: ASCII only
                     joined.append(first + i)
                     left.append(row[base])
                     right.append(row[w[len(base) :]])
                     continue
-            whole.append(w.decode("utf-8", "replace"))
+            plain.append(w)
             own.append(first + i)
         while len(row) > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self._append(own, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        if plain:
+            self._append(own, *self._encode(plain))
+        if odd:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._append(odd_own, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
         if joined:
             pairs = np.array([left, right], np.int64).T.ravel()
             self._append(joined, self.size[pairs].reshape(-1, 2).sum(axis=1), self._gather(pairs))
         new.clear()
 
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words without special tokens: many to a call, with such a token between them."""
+        parts = [_BETWEEN.join(words[i : i + 128]).decode("utf-8", "replace") for i in range(0, len(words), 128)]
+        between = self.tokenizer.token_to_id(_BETWEEN.decode())
+        ids = np.concatenate([np.array([*e.ids, between], np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == between)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != between]
+
     def _append(self, rows: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
         while self.end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
