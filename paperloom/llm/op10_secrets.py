@@ -1,6 +1,7 @@
 """Secret scan whose false positives a random forest removes.
 
-Candidates: strings with the form of known keys, values assigned to names like password or token, and long mixed tokens.
+Candidates: strings with the form of known keys, values assigned to names that hold a word like password or token,
+passwords in URLs, and long mixed tokens. No candidate, name or gap is cut at a length; reading is linear in the text.
 The forest (numpy, fixed seed) is trained on labelled findings made here from templates: real secrets, and look-alikes
 such as digests after "commit" or "md5", placeholders, identifiers, slugs and image data. Its features: length, shares of
 character classes, transitions between classes and between characters, entropy, dictionary coverage, the path (source)
@@ -32,15 +33,21 @@ TREES, DEPTH, LEAF, CUT = 40, 9, 4, 0.5
 SCHEMA = "doc_id long, start long, end long, rule string, secret_sha256 string, score double, is_secret boolean"
 #: Rules in order of precedence; group "v" is the candidate.
 RULES = {
-    "private_key": r"(?P<v>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+)",
+    "private_key": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+)",
     "aws_key": r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])",
     "service_token": r"(?<![A-Za-z0-9])(?P<v>gh[pousr]_[A-Za-z0-9]{30,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}+)",
     "jwt": r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    "assignment": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|private[_-]?key)[A-Za-z0-9_]{0,20}[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}(?:Bearer )?[\"'`]?(?P<v>[^\s\"'`,;]{6,}+)",
+    "url_password": r"(?<=://)[^\s:/@\"'<>]*+:(?P<v>[^\s/@\"'<>]{6,}+)@",
+    "assignment": None,  # see assignments()
     "high_entropy": r"(?<![A-Za-z0-9+/_-])(?P<v>[A-Za-z0-9+/_-]{20,}+={0,2})",
 }
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
-_RULES = {k: re.compile(p) for k, p in RULES.items()}
+_RULES = {k: re.compile(p) for k, p in RULES.items() if p}
+#: An assignment is found from its sign: the name before it holds one of these words, the value follows.
+_SIGN = re.compile("[:=]")
+_KEYWORD = re.compile(r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|private[_-]?key")
+_VALUE = re.compile(r"(?::=|=>|[:=])[ \t]*+(?:Bearer )?[\"'`]?(?P<v>[^\s\"'`,;]{6,}+)")
+_NAME = frozenset(string.ascii_letters + string.digits + "_-")
 _GOOD = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|login")
 _BAD = re.compile(r"(?i)commit|sha|md5|checksum|digest|hash|uuid|guid|integrity|etag|revision|image|version|example|sample|dummy|placeholder|fixture|test")
 _FILL = re.compile(r"(?i)example|changeme|placeholder|your[_-]?|xxxx|\*\*\*|\.\.\.|dummy|sample|redacted|todo|<[a-z]|\$\{|\{\{|%\(|os\.environ|process\.env|getenv|null|none|true|false|undefined|123456|abcdef|hunter2|secret123|password")
@@ -147,6 +154,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{pick(alnum + '+/', 300)}",
         lambda: f"{r.choice(['', 'export '])}{r.choice(['ENCRYPTION_KEY', 'SIGNING', 'SIGNING_KEY', 'MASTER_KEY', 'HMAC', 'SALT', 'CIPHER', r.choice(words).upper()])}={pick(alnum, 20, 44)}",
         lambda: f"{r.choice(['ENCRYPTION_KEY', 'SIGNING_KEY', 'MASTER_KEY', 'HMAC_KEY', 'signing_key', 'cipher_key'])}={pick(hexa, r.choice([32, 40, 64]))}",
+        lambda: f"{r.choice(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{r.choice(words)}:{pick(alnum + '!$%^*-_', 8, 30)}@{r.choice(words)}.example.com:5432/{r.choice(words)}",
         lambda: f"https://{r.choice(words)}.com/{r.choice(words)}?{r.choice(['sig', 'signature', 'sv', 'code', 'key'])}={pick(alnum, 20, 44)}",
     ]
     bad = [
@@ -168,6 +176,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         lambda: f"{r.choice(words).upper()}={r.choice(['_', '-', '/']).join(r.choice(words) for _ in range(5))}{r.choice(['_', '-'])}{pick('0123456789', 1, 3)}",
         lambda: f"https://{r.choice(words)}.com/?{r.choice(['title', 'page', 'q', 'id'])}={'-'.join(r.choice(words) for _ in range(5))}-{pick('0123456789', 1, 6)}",
         lambda: f"{r.choice(words)}?id={pick('0123456789', 20, 30)}a",
+        lambda: f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{r.choice(words)}:{r.choice(['password', 'changeme', 'xxxxxxxx', '${DB_PASSWORD}', '<password>', 'your_password', '******'])}@{r.choice(['localhost', 'db.example.com'])}/{r.choice(words)}",
     ]
     out = []
     while len(out) < n:
@@ -181,9 +190,29 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     return out
 
 
+def assignments(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to names that hold a keyword, in one pass over the signs."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        i = at
+        while i > done and text[i - 1] in " \t":
+            i -= 1
+        if i > done and text[i - 1] in "\"'":
+            i -= 1
+        end = i
+        while i > done and text[i - 1] in _NAME:
+            i -= 1
+        if i < end and _KEYWORD.search(text, i, end) and (v := _VALUE.match(text, at)):
+            done = v.end()
+            yield v.span("v")
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the candidates of a whole text; of overlapping ones the rule named first stays."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = [(s, e, "assignment") for s, e in assignments(text)]
     for rule, pattern in _RULES.items():
         for m in pattern.finditer(text):
             s, e = m.span("v")
