@@ -1,18 +1,24 @@
 """Personal data replaced by keyed surrogates of the same type, with DataFrame functions only.
 
-Detected: e-mail and IP addresses, payment cards (Luhn), IBANs (mod 97), US social security numbers, telephone numbers,
-and names after a title or beginning with a known first name. IPv6 addresses are found in full, compressed ("::") and with
+Detected: e-mail and IP addresses, payment cards (Luhn), IBANs (mod 97), US social security numbers, telephone numbers
+(international, North American, and national ones that begin with a zero), and names after a title or beginning with one
+of a list of first names; a name with neither is not known as one. IPv6 addresses are found in full, compressed ("::") and with
 an IPv4 tail; compressed ones need a group of three hex digits or that tail, as 1::2 and a::b are slices and scopes, and
 ::1 and :: name no one. One regular expression finds them; a text is cut at its
 matches and joined again around their surrogates, so nothing else changes.
 
 A surrogate comes from a Feistel network over the entity's letters and digits (octets for IPv4, the 32 hex digits for IPv6,
 whose surrogates are written in full, so that one address gets one surrogate in each of its forms), keyed by SHA-512: each
-character moves within its own alphabet, so script, case, length and punctuation stay, and as the network is a
-permutation, distinct entities get distinct surrogates while one entity gets the same surrogate wherever it occurs and
-however it is punctuated or cased. Kept or recomputed: the issuer and check digit of cards, country and check digits of
-IBANs, country code and plausible first digits of telephone numbers, the area of social security numbers, the top-level
-domain of e-mail addresses, the first group of IPv6 addresses. Known first names are permuted within their gender and script; titles stay.
+character moves within its own alphabet, of any script, so script, case, length and punctuation stay. Between the network
+and its inverse every character moves on by one, so the whole is a permutation without a fixed point: distinct entities get
+distinct surrogates, none its own, while one entity gets the same surrogate wherever it occurs and however it is
+punctuated or cased. Kept or recomputed: the issuer and check digit of cards, country and check digits of IBANs, country
+code and plausible first digits of telephone numbers, the area of social security numbers, the top-level domain of e-mail
+addresses, the first group of IPv6 addresses, and the ending that tells a Cyrillic surname's gender. In names vowels stay
+vowels. Known first names are permuted within their gender and script; titles stay.
+
+The key decides everything and is a secret: give it, or set PAPERLOOM_KEY, to have the same surrogates in another run.
+Without either a random one is drawn once a Spark application and never shown.
 
 Before use, the corpus' distinct entities are checked for surrogates that collide (they are pre-aggregated map-side and
 only entities are shuffled); a collision changes the nonce, so the replacement stays one consistent mapping.
@@ -26,6 +32,9 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import secrets
+import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +51,32 @@ FIRST_NAMES = {
     ("cyrillic", "f"): "Мария Анна Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Людмила",
 }
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþœ"]
+#: Letters with marks, tried after those: Latin, Cyrillic, Greek. Lower case, as tokens are.
+ALPHABETS += ["āăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĸĺļľŀłńņňŋōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž", "ѐђѓєѕіїјљњћќѝўџґ", "άέήίόύώϊϋς"]
 PHONE_DIGITS = ["01", "23456789"]
+NAME_LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь"]
+_GENDER = "(?:ова|ева|ёва|ина|ская|цкая|ов|ев|ёв|ин|ский|цкий)$"
+
+
+def _letter_runs() -> list[tuple[int, int]]:
+    """(first code point, length) of runs of letters or digits of one script that the alphabets lack; upper case is left out, as tokens have none."""
+    known = set("".join(ALPHABETS))
+    out: list[tuple[int, int]] = []
+    script = None
+    for c in range(0xAA, 0x323B0):
+        x = chr(c)
+        fits = unicodedata.category(x) in ("Ll", "Lo", "Lm", "Nd") and x not in known and len(x.upper()) == 1 and x.lower() == x
+        name = unicodedata.name(x, "").split(" ")[0] if fits else None
+        if fits and name == script and out[-1][0] + out[-1][1] == c:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        elif fits:
+            out.append((c, 1))
+        script = name
+    return [r for r in out if r[1] > 1]
+
+
+#: The runs in order, each as 6 hex digits of its first code point and 5 of its length: one literal, whatever the scripts.
+LETTER_RUNS = ",".join(f"{c:06X}{n:05X}" for c, n in _letter_runs())
 _FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names.split())
 _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -59,24 +93,31 @@ _IPV6_FORMS = [
 ]
 _IPV6 = rf"(?={_HEX}:|::)(?<![\p{{L}}\p{{N}}]|::|(?<![\p{{L}}\p{{N}}]){_HEX}:)(?:{'|'.join(_IPV6_FORMS)})(?![\p{{L}}\p{{N}}]|:[\p{{L}}\p{{N}}:])"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}\-]{0,62})\.){1,8}\p{L}[\p{L}\p{M}]{1,23}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv6": _IPV6,
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d+])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<![\d+])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}|(?:1[ .\-])?\(\d{3}\) ?\d{3}[ .\-]\d{4}|(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}|(?:1[ .\-])?\(\d{3}\) ?\d{3}[ .\-]\d{4}|(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}|(?<![.,\-/])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{3,9}(?:[ \-]\d{2,6}){0,2})(?!\d|[.,\-/]\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match holds: an @, + or (, a run of digits and delimiters, two colons around at most four hex digits, a title
 #: or a first name, or the head of an IBAN.
-HINT = rf"[@+(]|\d[\d.\-: ]{{5}}|:[0-9A-Fa-f]{{0,4}}:|(?<!\p{{L}})(?:{TITLES}|{_FIRST})(?!\p{{L}})|[A-Z]{{2}}\d\d"
+HINT = rf"[@+(]|\d[\d.\-: /]{{5}}|:[0-9A-Fa-f]{{0,4}}:|(?<!\p{{L}})(?:{TITLES}|{_FIRST})(?!\p{{L}})|[A-Z]{{2}}\d\d"
 _HEAD = rf"^(?:(?:{TITLES})\.? )?(?:(?:{_FIRST}) (?={_NAME}))?"
 
 
-def default_key() -> str:
-    return os.environ.get("PAPERLOOM_KEY", "paperloom")
+def secret_key(spark: SparkSession) -> str:
+    """PAPERLOOM_KEY, or a random key of this Spark application."""
+    own = os.environ.get("PAPERLOOM_KEY")
+    if own:
+        return own
+    sc = spark.sparkContext
+    if not hasattr(sc, "_paperloom_key"):
+        sc._paperloom_key = secrets.token_hex(32)
+    return sc._paperloom_key
 
 
 def _chars(c: Column) -> Column:
@@ -139,41 +180,69 @@ def entities(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x.alias("raw"), kind_of(x).alias("kind")))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _moved(token: Column, alphabet: Column, k: Column) -> Column:
+    at = F.instr(alphabet, token)
+    return F.substring(alphabet, F.pmod(at - 1 + k, F.length(alphabet)) + 1, F.lit(1))
+
+
+def _other_step(token: Column, k: Column) -> Column:
+    """A letter of any other script moves on in its run of code points; one that stands alone stays."""
+    point = F.ascii(token)
+    found = F.element_at(F.filter(F.split(F.lit(LETTER_RUNS), ","), lambda r: F.substring(r, 1, 6) <= F.lpad(F.hex(point), 6, "0")), -1)
+
+    def move(run: Column) -> Column:
+        first, n = (F.conv(F.substring(run, a, size), 16, 10).cast("int") for a, size in ((1, 6), (7, 5)))
+        return F.when(point < first + n, F.decode(F.unhex(F.lpad(F.hex(first + F.pmod(point - first + k, n)), 8, "0")), "UTF-32")).otherwise(token)
+
+    return F.coalesce(_with(found, move), token)
+
+
 def _alphabet_step(token: Column, kind: Column, k: Column) -> Column:
-    out = None
-    for phone, alphabet in [(True, a) for a in PHONE_DIGITS] + [(False, a) for a in ALPHABETS]:
-        at = F.instr(F.lit(alphabet), token)
-        test = (at > 0) & ((kind == "phone") if phone else F.lit(True))
-        step = F.substring(F.lit(alphabet), ((at - 1 + k) % len(alphabet) + 1).cast("int"), F.lit(1))
-        out = F.when(test, step) if out is None else out.when(test, step)
-    return out.otherwise(token)
+    own = None
+    for only, alphabet in [("phone", a) for a in PHONE_DIGITS] + [("name", a) for a in NAME_LETTERS] + [(None, a) for a in ALPHABETS]:
+        test = F.contains(F.lit(alphabet), token)
+        test = test if only is None else test & (kind == only)
+        own = F.when(test, F.lit(alphabet)) if own is None else own.when(test, F.lit(alphabet))
+    return _with(own, lambda alphabet: F.when(alphabet.isNull(), _other_step(token, k)).otherwise(_moved(token, alphabet, k)))
 
 
 def _octet_step(token: Column, first: Column, k: Column) -> Column:
     v = token.cast("int")
-    return F.when(first, F.when(v.between(1, 223), (v - 1 + k) % 223 + 1).otherwise(v)).otherwise((v + k) % 256).cast("string")
+    return F.when(first, F.when(v.between(1, 223), F.pmod(v - 1 + k, F.lit(223)) + 1).otherwise(v)).otherwise(F.pmod(v + k, F.lit(256))).cast("string")
 
 
 def _hex_step(token: Column, k: Column) -> Column:
-    digits = "0123456789abcdef"
-    return F.substring(F.lit(digits), ((F.instr(F.lit(digits), token) - 1 + k) % 16 + 1).cast("int"), F.lit(1))
+    return _moved(token, F.lit("0123456789abcdef"), k)
+
 
+def _step(token: Column, kind: Column, first: Column, k: Column) -> Column:
+    """``token`` moved on by k in its alphabet."""
+    return F.when(kind == "ip", _octet_step(token, first, k)).when(kind == "ipv6", _hex_step(token, k)).otherwise(_alphabet_step(token, kind, k))
 
-def feistel(tokens: Column, kind: Column, key: str) -> Column:
-    """Keyed permutation of token arrays that leaves each token in its alphabet."""
+
+def feistel(tokens: Column, kind: Column, key: str, inverse: bool = False) -> Column:
+    """Keyed permutation of token arrays that leaves each token in its alphabet, or its inverse."""
     half = F.floor(F.size(tokens) / 2).cast("int")
     start = F.struct(F.slice(tokens, F.lit(1), half).alias("l"), F.slice(tokens, half + 1, F.size(tokens) - half).alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), kind, i.cast("string"), F.array_join(s["r"], ",")), 512)
+        kept, moved = (s["l"], s["r"]) if inverse else (s["r"], s["l"])
+        stream = F.sha2(F.concat_ws("|", F.lit(key), kind, i.cast("string"), F.array_join(kept, ",")), 512)
 
         def step(t: Column, j: Column) -> Column:
             k = F.conv(F.substring(stream, (j % 42 * 3 + 1).cast("int"), F.lit(3)), 16, 10).cast("int")
-            return F.when(kind == "ip", _octet_step(t, (j == 0) & (i % 2 == 0), k)).when(kind == "ipv6", _hex_step(t, k)).otherwise(_alphabet_step(t, kind, k))
+            return _step(t, kind, (j == 0) & (i % 2 == 0), -k if inverse else k)
 
-        return F.struct(s["r"].alias("l"), F.transform(s["l"], step).alias("r"))
+        done = F.transform(moved, step)
+        return F.struct(done.alias("l"), kept.alias("r")) if inverse else F.struct(kept.alias("l"), done.alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+    rounds = F.array(*(F.lit(i) for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS))))
+    return F.aggregate(rounds, start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def first_name_map(key: str) -> dict[str, str]:
@@ -198,16 +267,23 @@ def surrogates(found: Column, key: str) -> Column:
             .when(kind.isin("iban", "ipv6"), 4)
             .when(kind == "ssn", 3)
             .when((kind == "phone") & raw.startswith("+"), F.when(raw.rlike(r"^\+[17]"), 1).otherwise(F.least(F.size(_tokens(F.regexp_extract(raw, r"^\+\d{1,3}", 0))), F.lit(2))))
+            .when((kind == "phone") & raw.rlike(r"^\(?0"), 1)
             .when(kind == "name", F.size(_tokens(F.regexp_extract(raw, _HEAD, 0))))
             .otherwise(0)
         )
-        tail = F.when(kind == "card", 1).when(kind == "email", F.size(_tokens(F.regexp_extract(raw, r"\.(\p{L}+)$", 1)))).otherwise(0)
+        gender = F.size(_tokens(F.regexp_extract(F.lower(raw), _GENDER, 0)))
+        tail = F.when(kind == "card", 1).when((kind == "name") & (F.size(tokens) - head - gender >= 2), gender).when(kind == "email", F.size(_tokens(F.regexp_extract(raw, r"\.([\p{L}\p{M}]+)$", 1)))).otherwise(0)
         return F.struct(raw.alias("raw"), kind.alias("kind"), tokens.alias("t"), head.alias("h"), tail.alias("z"))
 
-    def mix(e: Column) -> Column:
+    def scramble(e: Column) -> Column:
         t, h, z = e["t"], e["h"], e["z"]
         body = feistel(F.slice(t, h + 1, F.greatest(F.size(t) - h - z, F.lit(0))), e["kind"], key)
-        new = F.concat(F.slice(t, F.lit(1), h), body)
+        moved = F.transform(body, lambda x, j: _step(x, e["kind"], j == 0, F.lit(1)))
+        return F.struct(e["raw"], e["kind"], t.alias("t"), h.alias("h"), z.alias("z"), moved.alias("m"))
+
+    def mix(e: Column) -> Column:
+        t, h, z = e["t"], e["h"], e["z"]
+        new = F.concat(F.slice(t, F.lit(1), h), feistel(e["m"], e["kind"], key, inverse=True))
         return F.struct(e["raw"], e["kind"], t.alias("t"), new.alias("n"), F.slice(t, F.size(t) - z + 1, z).alias("z"))
 
     def finish(e: Column) -> Column:
@@ -236,20 +312,20 @@ def surrogates(found: Column, key: str) -> Column:
         norm = F.when(kind == "ip", F.array_join(e["t"], ".")).otherwise(F.array_join(e["t"], ""))
         return F.struct(raw.alias("raw"), kind.alias("kind"), norm.alias("norm"), new.alias("new"))
 
-    return F.transform(F.transform(F.transform(F.transform(found, cut), mix), finish), write)
+    return F.transform(F.transform(F.transform(F.transform(F.transform(found, cut), scramble), mix), finish), write)
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """Surrogates (kind, new) that stand for more than one entity of ``docs``; none are expected."""
+    """Surrogates (kind, new) that stand for more than one entity of ``docs``, or for themselves; none are expected."""
     ents = docs.select(F.explode(surrogates(entities(F.col("text").cast("string")), key)).alias("e")).where("e.kind is not null")
     new = F.when(F.col("e.kind") == "ip", F.col("e.new")).otherwise(F.array_join(_tokens(F.col("e.new")), ""))
     pairs = ents.select("e.kind", "e.norm", new.alias("new")).distinct()
-    return pairs.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return pairs.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("new") == F.col("norm")).alias("own")).where("n > 1 or own")
 
 
 def checked_key(docs: DataFrame, key: str | None = None) -> str:
     """``key`` with the first nonce under which no two entities of ``docs`` share a surrogate."""
-    key = key or default_key()
+    key = key or secret_key(docs.sparkSession)
     for nonce in range(NONCES):
         if collisions(docs, f"{key}#{nonce}").isEmpty():
             return f"{key}#{nonce}"

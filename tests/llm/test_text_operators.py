@@ -310,6 +310,52 @@ def test_a_text_of_nothing_but_one_match_is_replaced(spark):
     assert new["2001:db8::1: unreachable"] == f"{one}: unreachable" and new["from IP:2001:db8::1, [2001:db8::1]:443"] == f"from IP:{one}, [{one}]:443"
 
 
+def test_no_entity_is_its_own_surrogate_in_any_script(spark):
+    """All two-letter surnames, and letters beyond the alphabets: every letter that has others in its script changes, distinct stay distinct."""
+    import string
+
+    mails = ["王小明@例子.com", "Łukasz@żółw.pl", "ışık@şehir.org", "שלום@דואר.com", "محمد@بريد.com", "たろう@メール.com", "김철수@메일.com", "अनिल@डाक.com", "Αθηνά@αλφα.gr", "Ђорђе@пошта.com", "ab@c.org", "a@b.org", "z@b.org"]
+    names = [f"Mr {a}{b}" for a in string.ascii_uppercase for b in string.ascii_lowercase] + ["Мария Иванова", "Иван Иванов", "Госпожа Толстая", "Анна Достоевская", "Господин Лев"]
+    calls = ["030 1234567", "(030) 1234567", "0170/1234567", "089 123 4567", "030-12345678"]
+    plain = ["05/1999", "0.5 1234567", "2024-01-02", "version 01-02-03", "0 12"]
+    texts = [*mails, *names, *calls, *plain]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.text for r in op5_pii.replace_pii(docs, "k").orderBy("doc_id").collect()]
+    new = dict(zip(texts, got))
+    assert all(new[t] == t for t in plain) and all(new[t] != t for t in texts if t not in plain)
+    assert len({x.lower() for x in got}) == len({x.lower() for x in texts})
+    for t in mails:
+        own, to = t.rsplit(".", 1)[0], new[t].rsplit(".", 1)[0]
+        assert t.rsplit(".", 1)[1] == new[t].rsplit(".", 1)[1] and len(own) == len(to)
+        assert [c.isalpha() for c in own] == [c.isalpha() for c in to] and [c.isupper() for c in own] == [c.isupper() for c in to]
+        import unicodedata
+
+        assert [unicodedata.name(c).split()[0] for c in own] == [unicodedata.name(c).split()[0] for c in to], (t, new[t])
+    assert new["Мария Иванова"].endswith("ова") and new["Иван Иванов"].endswith("ов") and new["Анна Достоевская"].endswith("ская")
+    assert all(new[t].startswith(t[: t.index("0") + 1]) for t in calls)
+    vowels = lambda s: [c in "aeiou" for c in s.lower()]
+    assert all(vowels(t[3:]) == vowels(new[t][3:]) for t in names[:676])
+
+
+def test_the_network_and_its_inverse(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [("".join(r.choice("abcxyz0189éжłъ王") for _ in range(r.randint(1, 40))), k) for _ in range(40) for k in ("email", "phone", "name")]
+    df = spark.createDataFrame(rows, "s string, kind string")
+    once = op5_pii.feistel(op5_pii._chars(F.col("s")), F.col("kind"), "key")
+    back = op5_pii.feistel(once, F.col("kind"), "key", inverse=True)
+    assert all(x.s == "".join(x.b) for x in df.select("s", back.alias("b")).collect())
+
+
+def test_the_key_is_secret_and_of_one_application(spark, monkeypatch):
+    monkeypatch.delenv("PAPERLOOM_KEY", raising=False)
+    own = op5_pii.secret_key(spark)
+    assert len(own) == 64 and own == op5_pii.secret_key(spark)
+    monkeypatch.setenv("PAPERLOOM_KEY", "mine")
+    assert op5_pii.secret_key(spark) == "mine"
+
+
 def test_a_collision_would_change_the_nonce(spark, monkeypatch):
     docs = spark.createDataFrame([("a@b.org c@d.org",)], "text string")
     assert op5_pii.checked_key(docs, "k") == "k#0"
