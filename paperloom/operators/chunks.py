@@ -17,24 +17,52 @@ MAX_TOKENS = 1200
 Counter = Callable[[Column], Column]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: later expressions read them, where the optimizer would else write them out again inside lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def split_words(df: DataFrame, column: str, prefix: Column | None = None, limit: int = MAX_TOKENS) -> DataFrame:
     """Lossless greedy split of ``column`` at white space: adds segment_index, segment_count, segment and token_count.
 
     A prefix counts in every segment; one that fills the limit alone loses its leading lines until it fits. Texts within
-    the limit, nearly all, are never taken apart. A null or blank text gives no row.
+    the limit, nearly all, are never taken apart; longer ones are once, and their segments are slices of that, so the cost
+    is linear. A null or blank text gives no row.
     """
-    units = F.regexp_extract_all(F.col(column), F.lit(r"\S+\s*"), F.lit(0))
     df = df.withColumn("_n", text.word_count(F.col(column))).where("_n > 0")
     p = F.lit("") if prefix is None else F.coalesce(prefix, F.lit(""))
     lines = F.split(p, "\n")
     tails = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array_join(F.slice(lines, i, 1 << 30), "\n"))
     fitting = F.get(F.filter(F.concat(tails, F.array(F.lit(""))), lambda t: text.word_count(t) < limit), F.lit(0))
-    df = df.withColumn("_p", fitting if prefix is not None else F.lit("")).withColumn("_cap", F.lit(limit) - text.word_count(F.col("_p")))
+    room = F.lit(limit) - (text.word_count(fitting) if prefix is not None else 0)
+    df = once(df, _cap=room, _u=F.when(F.col("_n") > room, F.regexp_extract_all(F.col(column), F.lit(r"\S+\s*"), F.lit(0))))
     df = df.withColumn("segment_count", F.ceil(F.col("_n") / F.col("_cap")).cast("int"))
-    df = df.withColumn("segment_index", F.explode(F.sequence(F.lit(0), F.col("segment_count") - 1)))
-    cut = F.slice(units, F.col("segment_index") * F.col("_cap") + 1, F.col("_cap"))
-    df = df.withColumn("segment", F.when(F.col("segment_count") == 1, text.strip(F.col(column))).otherwise(text.strip(F.array_join(cut, ""))))
-    return df.withColumn("token_count", text.word_count(F.col("segment")) + F.lit(limit) - F.col("_cap")).drop("_n", "_cap", "_p")
+    cut = F.transform(F.sequence(F.lit(0), F.col("segment_count") - 1), lambda i: text.strip(F.array_join(F.slice("_u", i * F.col("_cap") + 1, F.col("_cap")), "")))
+    segments = F.when(F.col("_u").isNull(), F.array(text.strip(F.col(column)))).otherwise(cut)
+    df = df.select("*", F.posexplode(segments).alias("segment_index", "segment"))
+    return df.withColumn("token_count", text.word_count(F.col("segment")) + F.lit(limit) - F.col("_cap")).drop("_n", "_cap", "_u")
+
+
+def greedy_starts(units: Column, limit: Column) -> Column:
+    """First places (from 1) of the pieces into which units are added in order while a piece has at most ``limit`` words.
+
+    A unit is struct(k words, stop, gap): after one that neither ends a sentence (stop) nor in white space (gap), the next
+    is joined without a space, which makes one word of two. The fold carries counts only, no text.
+    """
+    start = F.struct(F.array(F.lit(1)).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(True).alias("loose"))
+
+    def add(s: Column, u: Column) -> Column:
+        n = s["n"] + u["k"] - (~s["loose"]).cast("int")
+        full = (s["i"] > 0) & (n > limit)
+        at = F.when(full, F.array_append(s["at"], s["i"] + 1)).otherwise(s["at"])
+        return F.struct(at.alias("at"), F.when(full, u["k"]).otherwise(n).alias("n"), (s["i"] + 1).alias("i"), (u["stop"] | u["gap"]).alias("loose"))
+
+    return F.aggregate(units, start, add, lambda s: s["at"])
+
+
+def sliced(units: Column, at: Column, put: Callable[[Column], Column]) -> Column:
+    """The pieces that begin at the places ``at``, each as ``put`` makes it of its units."""
+    return F.transform(at, lambda a, j: put(F.slice(units, a, F.coalesce(F.get(at, j + 1), F.size(units) + 1) - a)))
 
 
 def pack_sentences(df: DataFrame, column: str, limit: int = MAX_TOKENS, prefix: Column | None = None) -> DataFrame:
@@ -42,31 +70,20 @@ def pack_sentences(df: DataFrame, column: str, limit: int = MAX_TOKENS, prefix:
 
     A text within the limit is one piece. Else it is cut after . ! ? and at blank lines (at words if that gives one
     unit), and units are added while the limit holds; units after one without such an end are joined without a space. A
-    single longer unit stays whole. One fold over the units carries the piece's word count, so the cost is linear.
+    single longer unit stays whole. Units are cut once, a fold over their word counts finds where pieces begin, and pieces
+    are slices, so the cost is linear.
     """
-    words_before = F.lit(0) if prefix is None else text.word_count(prefix)
+    words_before = F.lit(0) if prefix is None else text.word_count(F.coalesce(prefix, F.lit("")))
     t = F.col(column)
+    df = once(df.where(t.isNotNull() & (text.strip(t) != "")), _room=F.lit(limit) - words_before, _n=text.word_count(t))
     sentences = F.filter(F.split(t, r"\n{2,}|(?<=[?!.])\s+", -1), lambda x: x != "")
-    units = F.when(F.size(sentences) == 1, F.regexp_extract_all(t, F.lit(r"\S+\s*"), F.lit(0))).otherwise(sentences)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s: Column, u: Column) -> Column:
-        empty = s["cur"] == ""
-        space = text.strip(s["cur"]).rlike("[.!?]$")
-        sep = F.when(space, " ").otherwise("")
-        glued = ~empty & ~space & ~s["cur"].rlike(r"\s$")
-        n = s["n"] + text.word_count(u) - glued.cast("int")
-        full = ~empty & (n + words_before > limit)
-        return F.struct(
-            F.when(full, F.array_append(s["done"], text.strip(s["cur"]))).otherwise(s["done"]).alias("done"),
-            F.when(full | empty, u).otherwise(F.concat(s["cur"], sep, u)).alias("cur"),
-            F.when(full | empty, text.word_count(u)).otherwise(n).alias("n"),
-        )
-
-    packed = F.aggregate(units, start, add, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.array_append(s["done"], text.strip(s["cur"]))))
-    pieces = F.when(text.word_count(t) + words_before <= limit, F.array(t)).otherwise(packed)
-    out = df.where(t.isNotNull() & (text.strip(t) != "")).select("*", F.posexplode(pieces).alias("piece_index", "piece"))
-    return out.withColumn("token_count", text.word_count(F.col("piece")) + words_before)
+    df = once(df, _x=F.when(F.col("_n") > F.col("_room"), sentences))
+    units = F.when(F.size("_x") == 1, F.regexp_extract_all(t, F.lit(r"\S+\s*"), F.lit(0))).otherwise(F.col("_x"))
+    df = once(df, _u=F.transform(units, lambda u: F.struct(u.alias("u"), text.word_count(u).alias("k"), u.rlike(r"[.!?]\s*$").alias("stop"), u.rlike(r"\s$").alias("gap"))))
+    df = once(df, _at=greedy_starts(F.col("_u"), F.col("_room")))
+    joined = sliced(F.col("_u"), F.col("_at"), lambda own: text.strip(F.array_join(F.transform(own, lambda u: F.concat(u["u"], F.when(u["stop"], " ").otherwise(""))), "")))
+    out = df.select("*", F.posexplode(F.when(F.col("_u").isNull(), F.array(t)).otherwise(joined)).alias("piece_index", "piece"))
+    return out.withColumn("token_count", text.word_count(F.col("piece")) + F.lit(limit) - F.col("_room")).drop("_room", "_n", "_x", "_u", "_at")
 
 
 def pair_labels(blocks: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -98,21 +115,17 @@ def table_chunks(tables: DataFrame) -> DataFrame:
     return tables.select("*", F.posexplode(rows).alias("row_index", "chunk")).where("chunk <> ''")
 
 
-def code_chunks(blocks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """Code blocks cut at line ends: adds piece_index, piece, token_count."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s: Column, line: Column) -> Column:
-        k = text.word_count(line)
-        full = s["cur"].isNotNull() & (s["n"] + k > limit)
-        return F.struct(
-            F.when(full, F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done"),
-            F.when(full | s["cur"].isNull(), line).otherwise(F.concat(s["cur"], F.lit("\n"), line)).alias("cur"),
-            F.when(full, k).otherwise(s["n"] + k).alias("n"),
-        )
+def _whole(u: Column) -> Column:
+    """A unit that no other is glued to."""
+    return F.struct(u.alias("u"), text.word_count(u).alias("k"), F.lit(True).alias("stop"), F.lit(True).alias("gap"))
+
 
-    pieces = F.aggregate(F.split("text", "\n", -1), start, add, lambda s: F.array_append(s["done"], s["cur"]))
-    return blocks.select("*", F.posexplode(pieces).alias("piece_index", "piece")).withColumn("token_count", text.word_count(F.col("piece")))
+def code_chunks(blocks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
+    """Code blocks cut at line ends: adds piece_index, piece, token_count. A longer line stays whole."""
+    df = once(blocks, _u=F.transform(F.split("text", "\n", -1), _whole))
+    df = once(df, _at=greedy_starts(F.col("_u"), F.lit(limit)))
+    pieces = sliced(F.col("_u"), F.col("_at"), lambda own: F.array_join(F.transform(own, lambda u: u["u"]), "\n"))
+    return df.select("*", F.posexplode(pieces).alias("piece_index", "piece")).withColumn("token_count", text.word_count(F.col("piece"))).drop("_u", "_at")
 
 
 def clean_chunks(blocks: DataFrame, supplements: DataFrame | None = None, limit: int = MAX_TOKENS) -> DataFrame:
@@ -144,19 +157,13 @@ def core_chunks(blocks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     """The core feed: neighbouring blocks of one section merged greedily while the limit holds, longer ones split."""
     w = scans.ordered("doc_id", "ord")
     df = blocks.where("block_type not in ('heading', 'picture') and text <> ''")
-    df = df.withColumn("_s", scans.island(F.array_join("section_path", "\u0001"), w)).withColumn("_n", text.word_count(F.col("text")))
-    group = df.groupBy("doc_id", "_s").agg(F.first("section_path").alias("headings"), F.array_sort(F.collect_list(F.struct("ord", "text", "_n"))).alias("x"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "refs"))), lambda y: y["refs"]))).alias("refs"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s: Column, b: Column) -> Column:
-        full = s["cur"].isNotNull() & (s["n"] + b["_n"] > limit)
-        return F.struct(
-            F.when(full, F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done"),
-            F.when(full | s["cur"].isNull(), b["text"]).otherwise(F.concat(s["cur"], F.lit("\n"), b["text"])).alias("cur"),
-            F.when(full, b["_n"]).otherwise(s["n"] + b["_n"]).alias("n"),
-        )
-
-    merged = group.select("doc_id", "_s", "headings", "refs", F.posexplode(F.aggregate("x", start, add, lambda s: F.array_append(s["done"], s["cur"]))).alias("_i", "text"))
+    df = df.withColumn("_s", scans.island(F.array_join("section_path", "\u0001"), w))
+    group = df.groupBy("doc_id", "_s").agg(F.first("section_path").alias("headings"), F.array_sort(F.collect_list(F.struct("ord", "text", "refs"))).alias("x"))
+    group = once(group, _u=F.transform("x", lambda b: _whole(b["text"])))
+    group = once(group, _at=greedy_starts(F.col("_u"), F.lit(limit)))
+    texts = sliced(F.col("_u"), F.col("_at"), lambda own: F.array_join(F.transform(own, lambda u: u["u"]), "\n"))
+    refs = sliced(F.col("x"), F.col("_at"), lambda own: F.array_distinct(F.flatten(F.transform(own, lambda b: F.coalesce(b["refs"], F.array().cast("array<string>"))))))
+    merged = group.select("doc_id", "_s", "headings", F.posexplode(F.arrays_zip(texts.alias("text"), refs.alias("refs"))).alias("_i", "_p")).select("doc_id", "_s", "headings", "_i", "_p.text", "_p.refs")
     cut = split_words(merged, "text", F.array_join("headings", "\n"), limit)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("_s", "_i", "segment_index")) - 1
     return cut.select("doc_id", turn.alias("chunk_idx"), "headings", "refs", F.col("segment").alias("text"), "segment_index", "segment_count", "token_count")
