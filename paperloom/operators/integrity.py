@@ -86,6 +86,18 @@ def _finding(category: str, status: str, order: int, tables: Column) -> Column:
     return F.struct(F.lit(order).alias("rule"), F.lit(category).alias("category"), F.lit(status).alias("status"), tables.alias("tables"), F.lit(status == "review_required").alias("blocks_llm_readiness"))
 
 
+def with_adjacency(snaps: DataFrame, body: DataFrame) -> DataFrame:
+    """Adds adjacent_next: whether the next table of the document follows in the body with nothing but page headers and footers between.
+
+    ``body``: doc_id, ref, pos, label of the body's own children; tables that are not among them are adjacent to nothing.
+    """
+    stops = (~F.coalesce(F.col("label").isin("page_header", "page_footer"), F.lit(False))).cast("int")
+    w = scans.ordered("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = body.withColumn("_at", F.sum(stops).over(w)).groupBy("doc_id", "ref").agg(F.min("_at").alias("_at"))
+    df = snaps.join(at, ["doc_id", "ref"], "left")
+    return df.withColumn("adjacent_next", F.coalesce(F.lead("_at").over(scans.ordered("doc_id", "table_idx")) - F.col("_at") == 1, F.lit(False))).drop("_at")
+
+
 def pairs(snaps: DataFrame) -> DataFrame:
     """Each snapshot with the next one of its document as ``n``; ``flow``: the two meet at a page break, ``fits``: so do their columns.
 

@@ -102,6 +102,45 @@ def clean_headings(lines: DataFrame, levels: DataFrame | None = None, furniture_
     return df.withColumn("line", F.when(F.col("_is"), cleaned).otherwise(F.col("line"))).select("doc_id", "line_no", "line")
 
 
+def code_starts(items: DataFrame) -> DataFrame:
+    """(doc_id, text): first line of each source-code item, for clean_headings."""
+    return items.where("label = 'code' and trim(text) <> ''").select("doc_id", F.regexp_extract("text", r"^\s*([^\n]*)", 1).alias("text"))
+
+
+def clean_markdown(docs: DataFrame, items: DataFrame | None = None, pages: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """(doc_id, markdown): Markdown of a converter (doc_id, text) repaired: entities, headings, continued tables and wrapped headers, tables without borders.
+
+    ``items`` (as for furniture, with level) and ``pages`` tell heading levels, page furniture and source code; ``tables``
+    (doc_id, table_idx, page, top, bottom, page_height) where tables stand: a document whose pipe tables are not as many as
+    these has its tables left as they are.
+    """
+    lines = to_lines(docs.select("doc_id", text.normalize_entities(F.col("text")).alias("text")))
+    if items is not None:
+        done = clean_headings(lines, heading_levels(items), furniture(items, pages), code_starts(items))
+    else:
+        done = clean_headings(lines)
+    lines = to_lines(to_text(done, "text"))  # a fused heading has become several lines
+    found = table_blocks(lines)
+    if tables is not None:
+        n = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).join(tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m")), "doc_id").where("_n = _m").select("doc_id")
+        place = tables.select("doc_id", "table_idx", "page", "top", "bottom", "page_height")
+        known = merge_continued_tables(found.join(n, "doc_id", "left_semi").join(place, ["doc_id", "table_idx"]))
+        rest = found.join(known.select("doc_id", "table_idx"), ["doc_id", "table_idx"], "left_anti").join(n, "doc_id", "left_semi").select("doc_id", "first_line", "last_line")
+        kept = known.select("doc_id", "first_line", "last_line", "header", "rows", "merged").unionByName(found.join(n, "doc_id", "left_anti").select("doc_id", "first_line", "last_line", "header", "rows", F.lit(False).alias("merged")))
+    else:
+        rest, kept = None, found.select("doc_id", "first_line", "last_line", "header", "rows", F.lit(False).alias("merged"))
+    kept = repair_header_fragments(kept).where(F.col("merged") | (F.size("repairs") > 0))
+    spans = kept.select("doc_id", "first_line", "last_line", render_table(F.col("header"), F.col("rows")).alias("line"))
+    if rest is not None:
+        spans = spans.unionByName(rest.withColumn("line", F.lit(None).cast("string")))
+    # spans of a document don't overlap: the last one that begins at or before a line tells whether it lies inside
+    marks = lines.select("doc_id", "line_no", "line").join(spans.select("doc_id", F.col("first_line").alias("line_no"), F.col("last_line").alias("_l"), F.lit(True).alias("_s"), F.col("line").alias("_new")), ["doc_id", "line_no"], "left")
+    last = F.last("_l", ignorenulls=True).over(scans.ordered("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marks = marks.withColumn("_in", F.coalesce(F.col("line_no") <= last, F.lit(False)))
+    out = marks.where((~F.col("_in")) | F.col("_new").isNotNull()).select("doc_id", "line_no", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("line")).alias("line"))
+    return borderless_tables(to_text(out))
+
+
 def table_blocks(lines: DataFrame) -> DataFrame:
     """Pipe tables outside fences: one row per table with first and last line, header and rows as arrays of cells.
 
@@ -121,7 +160,7 @@ def table_blocks(lines: DataFrame) -> DataFrame:
 
 def render_table(header, rows):
     """Markdown of a table's arrays, one Column."""
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, text.escape_cell), " | "), F.lit(" |"))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: text.escape_cell(x)), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(header, lambda _: F.lit("---")), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(header), rule), F.transform(rows, line)), "\n")
 
@@ -203,6 +242,8 @@ def _borderless(markdown: str) -> str:
             i += 1
             continue
         esc = [c.replace("|", "\\|") for c in cells]
+        if out and out[-1].strip():
+            out.append("")
         out += [f"| {first} | {lines[j].strip()} |", " --- ".join("|||"), *(f"| {a} | {b} |" for a, b in zip(esc[::2], esc[1::2])), ""]
         i = k
-    return "\n".join(out)
+    return "\n".join(out).rstrip() + "\n"

@@ -35,10 +35,10 @@ def evaluation(scores: Column) -> Column:
 
 
 def gates(report: DataFrame, clean: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
-    """The three readiness gates of each document: integrity, pictures, clean feed."""
+    """The three readiness gates of each document: integrity, pictures (text read by OCR is of low trust and doesn't pass), clean feed."""
     df = clean.join(report.select("doc_id", F.col("readiness").alias("integrity_readiness")), "doc_id", "left")
     if pictures is not None:
-        open_ = pictures.where(F.col("qualifying") & ~F.col("coverage_status").isin("structured_text", "ocr_text")).select("doc_id").distinct()
+        open_ = pictures.where(F.col("qualifying") & (F.col("coverage_status") != "structured_text")).select("doc_id").distinct()
         df = df.join(open_.withColumn("_o", F.lit(True)), "doc_id", "left").withColumn("visual_readiness", F.when(F.col("_o"), "review_required").otherwise("ready")).drop("_o")
     else:
         df = df.withColumn("visual_readiness", F.lit("ready"))

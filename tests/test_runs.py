@@ -104,20 +104,51 @@ def test_page_metric(spark):
 
 def test_warnings_and_children_of_pictures(spark):
     docs = spark.createDataFrame([(1, "a\n![x](p1.png)\n![x](p1.png)")], "doc_id int, text string")
-    cov = spark.createDataFrame([(1, 0, "p1.png", True, "ocr_failed"), (1, 1, "p2.png", True, "ocr_failed"), (1, 2, "p1.png", False, "below_threshold")], "doc_id int, pic_idx int, asset_uri string, qualifying boolean, coverage_status string")
-    assert L.to_text(pictures.inject_warnings(L.to_lines(docs), cov)).first().markdown == "a\n![x](p1.png)\n> **Review required:** picture text is ocr_failed\n![x](p1.png)"
-    pics = spark.createDataFrame([(1, 0, ["r1", "r2"], 3)], "doc_id int, pic_idx int, children array<string>, heading_ceiling int")
-    items = spark.createDataFrame([(1, "r1", "section_header", "t", 1), (1, "r2", "page_header", "u", None)], "doc_id int, ref string, label string, text string, level int")
-    assert [(r.ref, r.level) for r in pictures.child_items(pics, items).collect()] == [("r1", 3)]
+    cov = spark.createDataFrame([(1, 0, "p1.png", True, "ocr_failed", "#/pictures/0"), (1, 1, "p2.png", True, "ocr_failed", "#/pictures/1"), (1, 2, "p1.png", False, "below_threshold", ""), (1, 3, "p1.png", True, "ocr_text", ""), (1, 4, "p1.png", True, "structured_text", "")], "doc_id int, pic_idx int, asset_uri string, qualifying boolean, coverage_status string, ref string")
+    warning = "> **Review required:** no verified text of this picture (ocr_failed); look at the picture itself."
+    assert L.to_text(pictures.inject_warnings(L.to_lines(docs), cov)).first().markdown == f"a\n![x](p1.png)\n\n{warning}\n![x](p1.png)\n\n## Unresolved Image Content\n\n### #/pictures/1\n{warning}"
+    assert L.to_text(pictures.inject_warnings(L.to_lines(docs), cov.where("pic_idx > 1"))).first().markdown == "a\n![x](p1.png)\n![x](p1.png)"
+    pics = spark.createDataFrame([(1, 0, ["r1", "r2", "r3", "r4", "r5"], 3), (2, 0, ["r1"], None)], "doc_id int, pic_idx int, children array<string>, heading_ceiling int")
+    items = spark.createDataFrame([(1, "r1", "section_header", " t ", 5), (1, "r2", "page_header", "u", None), (1, "r3", "section_header", "low", 1), (1, "r4", "text", " ", None), (1, "r5", "text", "Page 1!", None), (2, "r1", "section_header", "t", 5)], "doc_id int, ref string, label string, text string, level int")
+    known = spark.createDataFrame([(1, "page1")], "doc_id int, signature string")
+    assert [(r.doc_id, r.ref, r.text, r.level) for r in pictures.child_items(pics, items, known).orderBy("doc_id", "pos").collect()] == [(1, "r1", "t", 3), (1, "r3", "low", 1), (2, "r1", "t", 5)]
+    found = pictures.picture_findings(cov).orderBy("finding_id").collect()
+    assert [(r.finding_id, r.category, r.ref) for r in found] == [("vi-0001", "unverified_picture_text", "#/pictures/0"), ("vi-0002", "unverified_picture_text", "#/pictures/1"), ("vi-0003", "low_trust_picture_ocr", "")]
+
+
+def test_headings_of_picture_text_stand_once(spark):
+    docs = spark.createDataFrame([(1, "# Known\n![x](p0.png)\nb\n![x](p1.png)")], "doc_id int, text string")
+    items = "array<struct<label:string,level:int,text:string>>"
+    rows = [(1, 0, "p0.png", "x", "document", "medium", [("section_header", 2, "KNOWN!"), ("section_header", 3, "New part"), ("text", None, "one\ntwo")]), (1, 1, "p1.png", "x", "document", "medium", [("section_header", 1, "new part"), ("section_header", None, "2.1 Numbered"), ("text", None, "three")]), (1, 2, "none.png", "four\n\nfive", "ocr", "low", None)]
+    rec = spark.createDataFrame(rows, f"doc_id int, rec_idx int, asset_uri string, text string, source string, trust string, items {items}")
+    head = "> **Picture text** ({}, trust {})"
+    want = ["# Known", "![x](p0.png)", "", "### New part", "", head.format("document", "medium"), "> one", "> two", "b", "![x](p1.png)", "", "### 2.1 Numbered", "", head.format("document", "medium"), "> three", "", "## Extracted Image Text", "", head.format("ocr", "low"), "> four", ">", "> five"]
+    assert L.to_text(pictures.inject_text(L.to_lines(docs), rec)).first().markdown.split("\n") == want
+
+
+def test_source_refs(spark):
     r = spark.range(1).select(pictures.source_refs(F.lit("p"), F.array(F.lit("c"), F.lit("p")), F.lit(None).cast("array<string>"), F.lit("u")).alias("a"), pictures.source_refs(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit("u")).alias("b")).first()
     assert r.a == ["p", "c"] and r.b == ["u"]
 
 
+def test_command_line_takes_web_pages_and_docx(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text("<h1>T</h1><p>Some words here.</p>")
+    (tmp_path / "in" / "c.pdf").write_bytes(b"%PDF-1.4 x")
+    with zipfile.ZipFile(tmp_path / "in" / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:outlineLvl w:val="0"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Words of it.</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>K</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>v</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    assert main(["batch", str(tmp_path / "in"), "--output", str(tmp_path / "out")], spark) == 1
+    m = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert m["counts"] == {"files": 3, "rejected": 0, "clean_chunks": 3, "not_converted": 1}
+    assert {r.text for r in spark.read.json(f"{tmp_path}/out/docx/clean_chunks").collect()} == {"Head\nWords of it.", "Head\nK = v"}
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# T\nSome words here.")
     (tmp_path / "in" / "b.pdf").write_text("not a pdf")
     assert main(["batch", str(tmp_path / "in"), "--output", str(tmp_path / "out")], spark) == 1
     m = json.loads((tmp_path / "out" / "manifest.json").read_text())
-    assert m["status"] == "partial_success" and m["counts"] == {"files": 2, "rejected": 1, "clean_chunks": 1}
+    assert m["status"] == "partial_success" and m["counts"] == {"files": 2, "rejected": 1, "clean_chunks": 1, "not_converted": 0}
     assert main(["parse", str(tmp_path / "in" / "a.md"), "--output", str(tmp_path / "one")], spark) == 0

@@ -8,6 +8,7 @@ from paperloom.functions import scans
 from paperloom.operators import blocks as B
 from paperloom.operators import chunks as C
 from paperloom.operators import integrity, pictures, review
+from paperloom.operators import lines as L
 from paperloom.plans import documents, gates, settings
 from paperloom.sources import readers
 
@@ -297,13 +298,69 @@ def test_a_document_graph_end_to_end(spark, tmp_path):
     (tmp_path / "one.json").write_text(GRAPH)
     out = documents.run_graphs(readers.read_graphs(spark, str(tmp_path)))
     md = out.markdown.first().markdown
-    assert md == "# 1. Intro\n\n- first point\n\n| Key | Value |\n| --- | --- |\n| a | b |\n\nClosing words.\n\n![Picture](p1.png)"
+    assert md == "# 1. Intro\n\n- first point\n\n| Key | Value |\n| --- | --- |\n| a | b |\n\nClosing words.\n\n![Picture](p1.png)\n\n> **Review required:** no verified text of this picture (ocr_unavailable); look at the picture itself."
     assert [(x.content_type, x.text) for x in out.clean_chunks.orderBy("chunk_idx").collect()] == [("text", "1. Intro\nfirst point"), ("table_row", "1. Intro\nKey = a; Value = b"), ("text", "1. Intro\nClosing words.")]
     gate = out.gates.first()
-    assert gate.clean_readiness == "ready" and gate.integrity_readiness == "ready" and out.findings.count() == 0
+    assert gate.clean_readiness == "partial_ready" and gate.integrity_readiness == "ready" and gate.visual_readiness == "review_required"
+    assert [r.category for r in out.findings.collect()] == ["unverified_picture_text"]
     assert out.core_chunks.first().headings == ["1. Intro"]
 
 
+def test_pictures_and_columns_of_a_graph(spark, tmp_path):
+    """Picture text, coverage, findings, warnings, adjacency, furniture and mixed columns reach the results of a run."""
+    box = lambda left, right, t=700, b=600: [dict(page_no=1, bbox=dict(l=left, r=right, t=t, b=b))]
+    texts = [item("texts/0", label="section_header", level=1, text="1. Intro", prov=box(0, 200))]
+    texts += [item(f"texts/{i}", label="text", text=f"Column text {i} stands here.", prov=box(*((0, 200) if i % 2 else (300, 500)))) for i in range(1, 6)]
+    texts += [item("texts/6", label="section_header", level=4, text="Order Queue"), item("texts/7", label="text", text="The service retries three times."), item("texts/8", label="page_footer", text="Page 1")]
+    grid = dict(num_rows=2, num_cols=1, table_cells=[cell(0, 0, "Key", True), cell(1, 0, "a")])
+    graph = dict(
+        body=dict(children=[*(ref(f"texts/{i}") for i in range(6)), ref("pictures/0"), ref("tables/0"), ref("texts/8"), ref("tables/1"), ref("pictures/1"), ref("texts/8")]),
+        texts=texts, groups=[],
+        tables=[item("tables/0", prov=[dict(page_no=1, bbox=dict(l=0, t=400, r=100, b=40))], data=grid), item("tables/1", prov=[dict(page_no=2, bbox=dict(l=0, t=760, r=100, b=500))], data=grid)],
+        pictures=[item("pictures/0", children=[ref("texts/6"), ref("texts/7"), ref("texts/8")], image=dict(uri="p1.png", size=dict(width=800, height=600))), item("pictures/1", children=[], image=dict(uri="p2.png", size=dict(width=800, height=600)))],
+        pages={"1": dict(size=dict(width=500, height=800)), "2": dict(size=dict(width=500, height=800))},
+    )
+    (tmp_path / "one.json").write_text(json.dumps(graph))
+    out = documents.run_graphs(readers.read_graphs(spark, str(tmp_path)))
+    cov = {r.pic_idx: r for r in out.coverage.collect()}
+    assert cov[0].coverage_status == "structured_text" and cov[1].coverage_status == "ocr_unavailable" and cov[0].context_heading == "1. Intro" and cov[0].heading_ceiling == 2
+    rec = out.picture_records.first()
+    assert rec.text == "Order Queue\nThe service retries three times." and [i.level for i in rec["items"]] == [2, None] and rec.refs == ["#/pictures/0", "#/texts/0", "#/texts/6", "#/texts/7"]
+    found = {(r.category, r.status, r.ref) for r in out.findings.collect()}
+    assert found == {("repeated_continuation_header", "verified", "#/tables/0"), ("repeated_continuation_header", "verified", "#/tables/1"), ("unverified_picture_text", "review_required", "#/pictures/1")}
+    md = out.markdown.first().markdown
+    assert "![Picture](p1.png)\n\n## Order Queue\n\n> **Picture text** (document, trust medium)\n> The service retries three times." in md and md.count("Order Queue") == 1 and "![Picture](p2.png)\n\n> **Review required:**" in md
+    gate = out.gates.first()
+    assert gate.visual_readiness == "review_required" and gate.integrity_readiness == "ready" and gate.clean_readiness == "partial_ready"
+    assert {r.integrity_status for r in out.blocks.where("block_type = 'paragraph'").collect()} == {"ambiguous"}
+    assert {r.kind for r in out.candidates.collect()} == {"diagram", "structural_ambiguity"}
+    assert out.picture_chunks.count() == 1 and out.warning_chunks.count() == 1
+    assert out.core_chunks.count() >= 1
+    seen = spark.createDataFrame([("file", "#/pictures/1", "done", "React SPA Frontend and Express Backend")], "doc_id string, ref string, ocr_status string, ocr_text string").withColumn("doc_id", F.lit(out.gates.first().doc_id))
+    again = documents.run_graphs(readers.read_graphs(spark, str(tmp_path)), ocr=seen)
+    assert {r.category for r in again.findings.where("ref like '%pictures%'").collect()} == {"low_trust_picture_ocr"} and again.warning_chunks.count() == 0 and again.gates.first().visual_readiness == "review_required"
+
+
+def test_web_pages_and_converter_markdown_end_to_end(spark):
+    pages = spark.createDataFrame([("a", "<h1>Head</h1><p>Some &amp; words.</p><li>point</li>"), ("b", None)], "doc_id string, html string")
+    out = documents.run_html(pages)
+    assert out.markdown.first().markdown == "# Head\n\nSome & words.\n\n- point" and {r.doc_id: r.clean_readiness for r in out.gates.collect()} == {"a": "ready", "b": "blocked"}
+    docs = spark.createDataFrame([(1, "## 1.2Title here\n#### Width:\nA &amp; B")], "doc_id int, text string")
+    assert documents.run_markdown(docs, clean=True).markdown.first().markdown == "## 1.2 Title here\n\nWidth:\n\nA & B"
+
+
+def test_converter_markdown_is_repaired_as_a_whole(spark):
+    md = "# Head &amp; Foot\n\n| Alert | Threshol d |\n| --- | --- |\n| a | b |\n\nbetween\n\n| Alert | Threshol d |\n| --- | --- |\n|  | c |\n| d | e |\n\n# Page title\nx"
+    docs = spark.createDataFrame([(1, md), (2, md)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "section_header", "Head & Foot", 3, 1, 500.0, 480.0), (1, "page_header", "Page title", None, 1, 790.0, 780.0)], "doc_id int, label string, text string, level int, page_no int, top double, bottom double")
+    pages = spark.createDataFrame([(1, 1, 800.0)], "doc_id int, page_no int, height double")
+    tables = spark.createDataFrame([(1, 0, 1, 400.0, 40.0, 800.0), (1, 1, 2, 760.0, 500.0, 800.0), (2, 0, 1, 400.0, 40.0, 800.0)], "doc_id int, table_idx int, page int, top double, bottom double, page_height double").withColumn("next_page_height", F.lit(800.0))
+    got = {r.doc_id: r.markdown for r in L.clean_markdown(docs, items, pages, tables).collect()}
+    one = "| Alert | Threshold |\n| --- | --- |\n"
+    assert got[1] == f"### Head & Foot\n\n{one}| a | b c |\n| d | e |\n\nbetween\n\n\n\nx\n"
+    assert got[2] == f"# Head & Foot\n\n{one}| a | b |\n\nbetween\n\n{one}|  | c |\n| d | e |\n\n# Page title\nx\n"
+
+
 def test_markdown_end_to_end(spark):
     docs = spark.createDataFrame([("d", "# Title\nSome words.\n- point\n```\nx = 1\n```\n"), ("e", "")], "doc_id string, text string")
     out = documents.run_markdown(docs)

@@ -97,4 +97,4 @@ def test_continued_tables_merge_once(spark):
 def test_borderless_table(spark):
     md = "Intro\nCategory\nRequirement\nPerformance\nFast\n\nBackup & Recovery Daily backups\n# Next"
     out = L.borderless_tables(spark.createDataFrame([(1, md), (2, None)], "doc_id int, markdown string")).orderBy("doc_id").collect()
-    assert out[0].markdown == "Intro\n| Category | Requirement |\n| --- | --- |\n| Performance | Fast |\n| Backup & Recovery | Daily backups |\n\n# Next" and out[1].markdown is None
+    assert out[0].markdown == "Intro\n\n| Category | Requirement |\n| --- | --- |\n| Performance | Fast |\n| Backup & Recovery | Daily backups |\n\n# Next\n" and out[1].markdown is None
