@@ -41,6 +41,25 @@ def select(candidates: DataFrame, limit: int, group: list[str]) -> DataFrame:
     return df.withColumn("reason", reason).drop("_key", "_first")
 
 
+def select_run(candidates: DataFrame, limit: int) -> DataFrame:
+    """As select() for one group of all candidates of a corpus: nothing is sorted or windowed as a whole.
+
+    The best candidate of each piece of evidence is an aggregate with map-side combining, the best ``limit`` of these a
+    top-k; they are few, so they are broadcast back. Only selected candidates have a rank, 1 to ``limit``. Candidates of two
+    documents are never one, whatever their ids.
+    """
+    suffix = F.regexp_extract("candidate_id", r"-(\d+)$", 1)
+    turn = F.struct((-F.col("score")).alias("a"), F.when(suffix != "", suffix.cast("long")).otherwise(0).alias("b"), F.col("candidate_id").alias("c"), F.col("doc_id").cast("string").alias("d"))
+    own = F.concat_ws("\u0001", F.lit(""), F.col("doc_id").cast("string"), "candidate_id")
+    df = candidates.withColumn("_key", F.when(F.coalesce("evidence", F.lit("")) == "", own).otherwise(F.col("evidence"))).withColumn("_turn", turn)
+    best = df.groupBy("_key").agg(F.min("_turn").alias("_best")).orderBy("_best").limit(limit)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy("_best")))  # of at most ``limit`` rows
+    df = df.join(F.broadcast(best), "_key", "left")
+    selected = F.coalesce(F.col("_turn") == F.col("_best"), F.lit(False))
+    reason = F.when(selected, None).when(F.col("_best").isNotNull(), "duplicate_evidence").otherwise("candidate_limit")
+    return df.withColumns({"selected": selected, "reason": reason, "rank": F.when(selected, F.col("rank"))}).drop("_key", "_turn", "_best")
+
+
 def cost(input_tokens: Column, output_tokens: Column, thought_tokens: Column, price_in: float, price_out: float, rate: float) -> Column:
     return (input_tokens * price_in + (output_tokens + thought_tokens) * price_out) / 1e6 * rate
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, graph_queries, review_queries, table_queries, text_queries
+from . import document_queries, graph_queries, operator_queries, review_queries, table_queries, text_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "document_queries", "graph_queries", "review_queries", "table_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "document_queries", "graph_queries", "operator_queries", "review_queries", "table_queries", "text_queries"]

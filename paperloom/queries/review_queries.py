@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunks, pictures, review
+from ..plans import stage
 from ..streaming import journal
 from .registry import query, table
 
@@ -141,7 +141,6 @@ def journal_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same fold as a stream over the events file, run to its end."""
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parque[t]")
-    name = "journal_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-")
-    journal.run_to_table(_journal(source), name, f"{base}/{name}")
-    return spark.table(name)
+    place = f"{stage.shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    journal.run_to_files(_journal(source), f"{place}/out", f"{place}/checkpoint")
+    return journal.latest(spark, f"{place}/out", "user_id")

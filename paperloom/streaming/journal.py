@@ -17,7 +17,7 @@ def read_journal(spark: SparkSession, path: str, stream: bool = True) -> DataFra
 
 
 def fold(events: DataFrame, key: str = "run_id", order: str = "sequence", columns: list[str] | None = None) -> DataFrame:
-    """Latest value of each column that an event carried, for each key: batch or stream (update or complete mode)."""
+    """Latest value of each column that an event carried, for each key: batch or stream (update mode)."""
     columns = columns or STATE
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
     return events.groupBy(key).agg(F.max(order).alias(f"last_{order}"), F.count(F.lit(1)).alias("n_events"), *latest)
@@ -28,6 +28,20 @@ def windowed(events: DataFrame, time: str, late: str, width: str, *keys: str) ->
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """Run a stream over all that is there into an in-memory table, for tests and small states; ends by itself."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a fold as a stream over all that is there: each micro-batch writes the keys it changed; ends by itself.
+
+    A batch that is run again writes its own folder again, so nothing is there twice.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """State of each key in what run_to_files() wrote: that of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("s.*")

@@ -15,9 +15,18 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, name):
 def test_similarity_matches_the_standard_library(spark, sf):
     from difflib import SequenceMatcher
 
-    rows = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
-    got = QUERIES["similarity_headers"](spark, sf).collect()
-    assert got and all(r.ratio == round(SequenceMatcher(None, rows[r.p_partkey], rows[r.p_partkey + 1]).ratio(), 4) for r in got)
+    rows = sorted((r.p_partkey, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").collect())
+    pairs = {k: (a, b) for (k, a), (_, b) in zip(rows, rows[1:])}
+    want = {k: round(SequenceMatcher(None, a, b).ratio(), 4) for k, (a, b) in pairs.items() if 2 * min(len(a), len(b)) >= 0.6 * (len(a) + len(b))}
+    assert {r.p_partkey: r.ratio for r in QUERIES["similarity_headers"](spark, sf).collect()} == want
+
+
+def test_neighbours_lose_no_pair_at_the_ends_of_ranges(spark):
+    from paperloom.queries.text_queries import _neighbours
+
+    keys = [1, 2, 999, 1000, 1001, 1999, 5000, 5001, 7999]
+    part = spark.createDataFrame([(k, f"n{k}") for k in keys], "p_partkey long, p_name string")
+    assert sorted((r.p_partkey, r.next_name) for r in _neighbours(part).collect()) == [(a, f"n{b}") for a, b in zip(keys, keys[1:])]
 
 
 def test_entry(spark):

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from paperloom.sources import files
 from paperloom.streaming import journal
 
@@ -58,5 +60,25 @@ def test_journal_folds_in_batch_and_stream(spark, tmp_path):
     (tmp_path / "j" / "a.jsonl").write_text("\n".join(json.dumps({k: v for k, v in e.items() if v is not None}) for e in events) + "\nnot json\n")
     batch = journal.fold(journal.read_journal(spark, str(tmp_path / "j"), stream=False)).first()
     assert (batch.last_sequence, batch.n_events, batch.phase, batch.requests) == (3, 4, "verify", 2)
-    journal.run_to_table(journal.fold(journal.read_journal(spark, str(tmp_path / "j"))), "folded", str(tmp_path / "cp"))
-    assert spark.table("folded").first() == batch
+    def fold_again():
+        journal.run_to_files(journal.fold(journal.read_journal(spark, str(tmp_path / "j"))), str(tmp_path / "out"), str(tmp_path / "cp"))
+        return {x.run_id: x for x in journal.latest(spark, str(tmp_path / "out"), "run_id").collect()}
+
+    assert fold_again() == fold_again() == {"r": batch}
+    (tmp_path / "j" / "b.jsonl").write_text(json.dumps({"run_id": "r", "sequence": 9, "event": "e", "status": "done"}) + "\n" + json.dumps({"run_id": "s", "sequence": 1, "event": "e"}))
+    state = fold_again()
+    assert state["r"] == journal.fold(journal.read_journal(spark, str(tmp_path / "j"), stream=False)).where("run_id = 'r'").first() and state["s"].n_events == 1
+
+
+def test_the_shared_folder_is_this_applications_own_and_goes(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from paperloom.plans import stage
+
+    assert spark.sparkContext.applicationId in stage.shared_dir(spark)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        stage.shared_dir(cluster)
+    (tmp_path / "x").mkdir()
+    stage.removed(spark, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
