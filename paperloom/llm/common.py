@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,20 +41,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(spark.sparkContext, "_paperloom_shared", None)
-        if place is None:
-            place = spark.sparkContext._paperloom_shared = "file://" + tempfile.mkdtemp(prefix="paperloom-shared-")
-    return place.rstrip("/")
+    """This application's own folder in spark.checkpoint.dir, removed when the driver ends.
+
+    Where the setting is unset a temporary folder stands in, in local mode only: on a cluster it would not be shared.
+    """
+    sc = spark.sparkContext
+    place = getattr(sc, "_paperloom_shared", None)
+    if place is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="paperloom-shared-")
+        place = sc._paperloom_shared = f"{base.rstrip('/')}/paperloom-llm-{sc.applicationId}"
+        atexit.register(_remove, spark, place)
+    return place
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder; one that is gone, or a session that has ended, is no error."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._paperloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove what ``written`` wrote; only when nothing will read it again."""
+    _remove(df.sparkSession, df._paperloom_path)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -140,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each one written to the shared folder. Rounds
     grow as the logarithm of the longest chain. A node of high degree is aggregated by min() with map-side combining
-    before anything is shuffled by it, and no component is collected anywhere. Nulls and loops link nothing.
+    before anything is shuffled by it, and no component is collected anywhere; the join that gives a hub's neighbours its
+    minimum is one row against many and splits by the planner's skew join. Nulls and loops link nothing.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -150,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, now = now, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(old)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -2,12 +2,15 @@
 
 Rotations are learned in numpy on a bounded sample (SAMPLE vectors): each starts from a random orthogonal matrix over
 the principal directions and alternates sign codes with a Procrustes step, which balances the variance over the bits.
-ROTATIONS of them give codes of up to 192 bits; the codes are cut into 16-bit substrings, each one a Hamming table.
+Their codes are cut into 16-bit substrings, each one a Hamming table. There are as many rotations as give TABLES of them,
+12, or more where the sample's spread around its mean is small: centring widens the angle of a pair there, and from that
+angle follow the chance that a pair at the threshold shares a table, the number of tables for RECALL (MOST_TABLES at most,
+as each costs a shuffle of codes; a common part above about 0.9 of the norm then costs recall) and the screen's radius.
 Vectors that share a substring and a label meet in a bucket. Buckets first hold codes alone: rows with no other code
 within RADIUS of their bits go, which chance meetings do and near vectors (whose bits differ by a sixteenth) don't. Only
 what is left is joined with the original vectors and reranked by cosine in double precision, so no link below the
-threshold is reported and vectors are not shuffled for every table. Every vector is indexed. At the threshold itself a
-pair shares one of the 12 tables with probability 0.99; measured recall is in the README.
+threshold is reported and vectors are not shuffled for every table. Every vector is indexed. Measured recall is in the
+README and, for few dimensions and common means, in the tests.
 
 Equal vectors of one label are merged first (map-side combining), so a group of copies is one row of the index, and
 counts are multiplied back. Buckets of more than HOT_ROWS are cut into cells of bounded size. A pair that meets in
@@ -31,21 +34,32 @@ from pyspark.sql import functions as F
 from .common import components, forest, grouped_batches, runs, ship, table, tile_hot, written
 
 THRESHOLD = 0.98
-ROTATIONS, BITS, ROUNDS = 3, 16, 30
+TABLES, MOST_TABLES, RECALL, BITS, ROUNDS = 12, 96, 0.99, 16, 30
 SAMPLE = 20_000
 HOT_ROWS = 2048
-#: Share of differing bits up to which a pair is reranked.
+#: Share of differing bits up to which a pair is reranked, at least.
 RADIUS = 0.25
 SCHEMA = "a long, b long, n long"
 
 
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and (dims, bits) projection learned from unit vectors; with no sample, random rotations."""
+def plan(x: np.ndarray, bits: int, threshold: float = THRESHOLD) -> tuple[int, float]:
+    """Number of rotations and the radius for centred vectors ``x`` under codes of ``bits`` a rotation."""
+    spread = float((x * x).sum(axis=1).mean()) if len(x) else 1.0
+    flip = np.arccos(max(-1.0, 1 - (1 - threshold) / max(spread, 1e-9))) / np.pi
+    share = max((1 - flip) ** BITS, 1e-9)
+    tables = min(MOST_TABLES, max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-share)))))
+    rotations = -(-tables // (bits // BITS))
+    return rotations, max(RADIUS, flip + 4 * np.sqrt(flip * (1 - flip) / (rotations * bits)))
+
+
+def learn(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 7, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, (dims, bits) projection and radius learned from unit vectors; with no sample, random rotations."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     bits = min(64, max(BITS, d // BITS * BITS))
     mean = sample.mean(0) if len(sample) else np.zeros(d)
     x = sample - mean
+    rotations, radius = plan(x, bits, threshold)
     parts = []
     for _ in range(rotations):
         if len(x) > d >= bits:
@@ -58,10 +72,10 @@ def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS,
             parts.append(w @ r)
         else:  # too few vectors or dimensions to learn from
             parts.append(rng.standard_normal((d, bits)))
-    return mean, np.concatenate(parts, axis=1)
+    return mean, np.concatenate(parts, axis=1), radius
 
 
-def substrings(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def substrings(unit: np.ndarray, model: tuple) -> np.ndarray:
     """(rows, tables) 16-bit substrings of the codes."""
     bits = np.packbits((unit - model[0]) @ model[1] >= 0, axis=1)
     return np.ascontiguousarray(bits).view(">u2").astype(np.int32)
@@ -114,22 +128,27 @@ def _keys(t: pa.Table) -> np.ndarray:
     return np.column_stack([label, *(t.column(k).to_numpy() for k in _CELL[1:])])
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(radius: dict[int, float]) -> callable:
     """Rows of each cell that have another row within the radius."""
-    for t in grouped_batches(batches, _CELL):
-        keep = np.zeros(t.num_rows, bool)
-        for s, e in runs(_keys(t)):
-            if e - s < 2:
-                continue
-            c = _codes(t.column("code").slice(s, e - s))  # lengths follow dims, which a cell has one of
-            limit = RADIUS * BITS * c.shape[1]
-            for i in range(0, e - s, 256):
-                far = np.zeros((len(c[i : i + 256]), e - s), np.int32)
-                for k in range(c.shape[1]):
-                    far += np.bitwise_count(c[i : i + 256, k, None] ^ c[None, :, k])
-                keep[s + i : s + i + len(far)] = (far <= limit).sum(axis=1) > 1  # itself is one
-        if keep.any():
-            yield from t.filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped_batches(batches, _CELL):
+            keep = np.zeros(t.num_rows, bool)
+            keys = _keys(t)
+            for s, e in runs(keys):
+                if e - s < 2:
+                    continue
+                c = _codes(t.column("code").slice(s, e - s))  # lengths follow dims, which a cell has one of
+                limit = radius.get(int(keys[s, 1]), RADIUS) * BITS * c.shape[1]
+                for i in range(0, e - s, 256):
+                    far = np.zeros((len(c[i : i + 256]), e - s), np.int32)
+                    for k in range(c.shape[1]):
+                        far += np.bitwise_count(c[i : i + 256, k, None] ^ c[None, :, k])
+                    keep[s + i : s + i + len(far)] = (far <= limit).sum(axis=1) > 1  # itself is one
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 def _search(threshold: float) -> callable:
@@ -183,10 +202,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     fit: dict[int, list] = {}
     for r in classes.select("v").orderBy(F.xxhash64("v")).limit(sample).toLocalIterator():
         fit.setdefault(len(r.v), []).append(r.v)
-    models = {d: learn(_unit(np.array(x))) for d, x in fit.items()}
+    models = {d: learn(_unit(np.array(x)), threshold=threshold) for d, x in fit.items()}
     filed = classes.select("id", "label", "dims", "v").mapInArrow(_index(models), "id long, label string, dims int, tab int, bucket int, code binary")
     cells = tile_hot(filed, _CELL[:4], "id", hot_rows)
-    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_screen, cells.schema)
+    near = cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_screen({d: m[2] for d, m in models.items()}), cells.schema)
     cells = near.join(classes.select("id", "copies", "v"), "id")
     found = written(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_search(threshold), SCHEMA), "itq")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

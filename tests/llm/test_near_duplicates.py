@@ -27,6 +27,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shared_folder_is_refused_on_a_cluster_without_the_setting(spark):
+    from types import SimpleNamespace
+
+    from paperloom.llm.common import dropped, shared_dir, written
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
+    df = written(spark.range(3), "test")
+    assert df.count() == 3 and spark.sparkContext.applicationId in shared_dir(spark)
+    dropped(df)
+    with pytest.raises(Exception):
+        spark.read.schema("id long").parquet(df._paperloom_path).count()
+
+
 def test_tiles_let_every_pair_of_a_hot_group_meet_once(spark):
     df = spark.createDataFrame([("h", i) for i in range(30)] + [("c", 99)], "k string, id long")
     rows = tile_hot(df, ["k"], "id", 8).collect()
@@ -165,6 +180,27 @@ def test_itq_finds_what_brute_force_finds(spark):
     assert again == {k: (r.n_links, r.component_id) for k, r in got.items()}  # cells change nothing
 
 
+@pytest.mark.parametrize("dims, common", [(8, 0), (16, 0), (32, 0), (64, 2)])
+def test_itq_recall_in_few_dimensions_and_around_a_common_mean(spark, dims, common):
+    """Pairs just above the threshold; ``common``: norm of a part that all vectors share, against 1 for each one's own."""
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((400, dims)) / np.sqrt(dims)
+    x += common * np.eye(dims)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((400, dims))
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    angle = np.arccos(0.983)
+    both = np.concatenate([x, np.cos(angle) * x + np.sin(angle) * other]).astype(np.float32)
+    u = both.astype(float) / np.linalg.norm(both.astype(float), axis=1, keepdims=True)
+    want = u @ u.T >= 0.98
+    np.fill_diagonal(want, False)
+    df = vectors(spark, [(i, v.tolist(), 1, *[None] * 5) for i, v in enumerate(both)])
+    got = {r.vec_id: r.n_links for r in op1_itq.near_duplicates(df).collect()}
+    n = np.array([got[i] for i in range(800)])
+    assert (n <= want.sum(1)).all() and n.sum() >= 0.95 * want.sum()
+
+
 def test_itq_of_two_lengths_in_one_label(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.standard_normal(40 if i % 2 else 64).tolist(), 1) for i in range(60)]
