@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the one before kept; all but the last return the
 columns of documents. ``run`` writes each stage's rows to the shared folder and reads them again, so a lost executor
-repeats part of one stage at most.
+repeats part of one stage at most; rows that the next stage has taken up are removed.
+
+The near-duplicate stage groups by the contract of its operator: 4-word shingles, fingerprints within 4 bits. That finds
+copies and near copies that differ in few words; pairs of five-word similarity 0.8 mostly lie further apart (see README).
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import op2_toxicity, op4_simhash, op5_pii, op6_packing, op8_quality
-from paperloom.llm.common import table, written
+from paperloom.llm.common import dropped, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents table."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
