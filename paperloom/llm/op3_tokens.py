@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from .common import as_bytes, ship, spread, table, vocabulary
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
+#: Characters above which a text is taken apart bit by bit, so that the table of what is known is bounded within it too.
+AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, n_unknown long"
 _UNIT = re.compile(r" *[^ ]+| +")
 _FLOOR = -1e6
@@ -45,7 +48,7 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
 
 
 class Counter:
-    """Counts tokens; the table of units is emptied at ``most`` of them."""
+    """Counts tokens; the table of units is emptied at ``most`` of them, within a long text as well."""
 
     def __init__(self, pieces: list[tuple[str, float]], has_bytes: bool, most: int = 400_000):
         import ahocorasick
@@ -107,11 +110,19 @@ class Counter:
     def __call__(self, text: str) -> tuple[int, int]:
         if not text:
             return 0, 0
+        text = " " + text.replace(SPACE, " ")  # one space sign goes before each text
+        if not (self.spaces_only and self.has_bytes):
+            return self._sum([text])
+        if len(text) <= AT_ONCE:
+            return self._sum(_UNIT.findall(text))
+        units = (m[0] for m in _UNIT.finditer(text))
+        parts = [self._sum(own) for own in iter(lambda: [*islice(units, AT_ONCE // 8)], [])]
+        return sum(n for n, _ in parts), sum(k for _, k in parts)
+
+    def _sum(self, units: list[str]) -> tuple[int, int]:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        text = " " + text.replace(SPACE, " ")  # one space sign goes before each text
-        units = _UNIT.findall(text) if self.spaces_only and self.has_bytes else [text]
         for u in {*units}:
             if u not in known:
                 known[u] = self.unit(u.replace(" ", SPACE))

@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .common import as_bytes, ship, spread, table, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NONE = 1 << 30
+#: Characters above which a text is taken apart bit by bit, so that the table of what is known is bounded within it too.
+AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -89,20 +92,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder with a bounded memory of pieces: it is emptied at ``most`` pieces."""
+    """Encoder and decoder with a bounded memory of pieces: it is emptied at ``most`` pieces, within a long text as well."""
 
     def __init__(self, path: str, pattern: str, most: int = 400_000):
         import regex
 
         self.ranks = load_ranks(path)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.bytes_of: dict[int, bytes] = {v: k for k, v in self.ranks.items()}
         self.known: dict[str, bytes] = {}
         self.most = most
 
     def ids_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        pieces = self.find(text)
+        if len(text) <= AT_ONCE:
+            return self._encoded(self.pattern.findall(text))
+        pieces = (m[0] for m in self.pattern.finditer(text))
+        return b"".join(self._encoded(own) for own in iter(lambda: [*islice(pieces, AT_ONCE // 8)], []))
+
+    def _encoded(self, pieces: list[str]) -> bytes:
         known = self.known
         if len(known) > self.most:
             known.clear()

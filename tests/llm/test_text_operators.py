@@ -29,6 +29,20 @@ def test_bpe_ids_are_those_of_the_library():
         assert codec.decode(np.array(ids, "<u4").tobytes()) == t.encode()
 
 
+def test_long_texts_are_counted_and_encoded_bit_by_bit(monkeypatch):
+    from public_tokenizers import PATTERN
+
+    texts = [*mixed_texts(60, 3), " ".join(mixed_texts(300, 4)), " " * 500, "word " * 700]
+    pieces, has_bytes = op3_tokens.read_vocabulary(vocabulary(op3_tokens.VOCABULARY))
+    codec, counter = op7_bpe.Codec(vocabulary(op7_bpe.VOCABULARY), PATTERN), op3_tokens.Counter(pieces, has_bytes)
+    want = [(codec.ids_bytes(t), counter(t)) for t in texts]
+    for module in (op3_tokens, op7_bpe):
+        monkeypatch.setattr(module, "AT_ONCE", 64)
+    codec, counter = op7_bpe.Codec(vocabulary(op7_bpe.VOCABULARY), PATTERN, most=5), op3_tokens.Counter(pieces, has_bytes, most=5)
+    assert [(codec.ids_bytes(t), counter(t)) for t in texts] == want
+    assert len(codec.known) < 20 and len(counter.known) < 20
+
+
 def test_bpe_rows(odd_docs, no_docs):
     rows = op7_bpe.encode(odd_docs, keep_ids=True).collect()
     empty = hashlib.sha256(b"").hexdigest()
