@@ -36,6 +36,16 @@ def reading_order(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     return walked.groupBy("doc_id", "ref").agg(F.min_by("depth", "path").alias("depth"), F.min("path").alias("path"))
 
 
+def matched_refs(native: DataFrame, items: DataFrame) -> DataFrame:
+    """``native`` (doc_id, ord, signature, ...) with the ref of the item of equal signature whose turn it is, null where there is none left.
+
+    ``items``: doc_id, ord, signature, ref. The first of equal texts takes the first ref, the second the second: both sides
+    are numbered within a signature, and the rest is an equi-join.
+    """
+    turn = lambda df: df.withColumn("_t", F.row_number().over(Window.partitionBy("doc_id", "signature").orderBy("ord")))
+    return turn(native).join(turn(items).select("doc_id", "signature", "_t", "ref"), ["doc_id", "signature", "_t"], "left").drop("_t")
+
+
 def typed(items: DataFrame) -> DataFrame:
     """Items (doc_id, ord, label, text, level, ...) as blocks; page furniture and empty texts go.
 

@@ -192,6 +192,16 @@ def report(documents: DataFrame, findings: DataFrame) -> DataFrame:
     return df.withColumn("readiness", F.when((F.col("n_review_required") > 0) | (F.col("n_blocking") > 0), "review_required").otherwise("ready"))
 
 
+def evidence(findings: DataFrame) -> DataFrame:
+    """(doc_id, finding_id, category, status, evidence_type, folder, table_number, file): table pictures that back a repair or a question.
+
+    One row per fragment, named as a converter exports them; tables count from 1. Findings that neither repair nor ask have none.
+    """
+    own = findings.where("status in ('repaired_high_confidence', 'review_required')").select("doc_id", "finding_id", "category", "status", F.posexplode("tables").alias("_i", "t"))
+    number = (F.col("t") + 1).cast("int")
+    return own.select("doc_id", "finding_id", "category", "status", F.lit("semantic_integrity_table_fragments").alias("evidence_type"), F.col("finding_id").alias("folder"), number.alias("table_number"), F.format_string("table-fragment-%04d.png", number).alias("file"))
+
+
 def annotate(chunks: DataFrame, findings: DataFrame) -> DataFrame:
     """Chunks (doc_id, chunk_idx, refs, text, ...) with the findings on their refs: ids, worst status, and a warning before the text of a chunk that needs review.
 

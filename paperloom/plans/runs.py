@@ -129,6 +129,17 @@ def archive(folder: Path) -> bytes:
     return out.getvalue()
 
 
+def read_json(path: str | Path) -> Any:
+    """What write_json() wrote."""
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def without_page_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (path, length) of a run without its page pictures, and (n_files, n_bytes) of those."""
+    page = F.col("path").rlike(r"(?:^|/)assets/page_[^/]*$")
+    return files.where(~page), files.where(page).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def preview(text: str, limit: int = 250_000) -> tuple[str, bool]:
     """The beginning of a text and whether there is more."""
     return text[:limit], len(text) > limit

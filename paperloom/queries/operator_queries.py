@@ -503,3 +503,34 @@ def retries_and_limits(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     error = F.when(k % 2 == 0, "Error 503: service unavailable").otherwise("bad JSON")
     return table(spark, d, "part").select("p_partkey", F.greatest(F.lit(1), k % 9 - 4).alias("n"), review.is_transient(error).alias("transient"))
+
+
+@query(
+    """with a as (select doc_id % 3 d, doc_id o, lang g, row_number() over (partition by doc_id % 3, lang order by doc_id) t from documents), b as (select doc_id % 3 d, doc_id o, lang g, row_number() over (partition by doc_id % 3, lang order by doc_id) t from documents where doc_id % 2 = 0)
+    select a.d as doc_id, a.o as ord, 'r' || b.o as ref from a left join b on a.d = b.d and a.g = b.g and a.t = b.t"""
+)
+def refs_in_turn(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs whose signature is a language get the refs of every second document of that language, first come first served."""
+    k = F.col("doc_id")
+    own = table(spark, d, "documents").select((k % 3).alias("doc_id"), k.alias("ord"), F.col("lang").alias("signature"))
+    items = own.where("ord % 2 = 0").withColumn("ref", F.concat(F.lit("r"), "ord"))
+    return B.matched_refs(own, items).select("doc_id", "ord", "ref")
+
+
+@query(
+    _PAIRED + """, f as (select c, i, k, unnest([struct_pack(n := 1, s := 'repaired_high_confidence', t := h and k % 7 = 0, x := [i]), struct_pack(n := 2, s := 'review_required', t := flow and not fits, x := [i, i + 1]), struct_pack(n := 3, s := 'verified', t := rep, x := [i, i + 1]),
+      struct_pack(n := 5, s := 'repaired_high_confidence', t := inh, x := [i, i + 1]), struct_pack(n := 6, s := 'repaired_high_confidence', t := cut, x := [i, i + 1]), struct_pack(n := 7, s := 'review_required', t := not h and not got, x := [i])]) x from s),
+    g as (select c, 'si-' || lpad(row_number() over (partition by c order by x.n, i)::varchar, 4, '0') id, x from f where x.t)
+    select c as doc_id, id as folder, (unnest(x.x) + 1)::int as table_number, 'table-fragment-' || lpad((unnest(x.x) + 1)::varchar, 4, '0') || '.png' as file from g where x.s <> 'verified'"""
+)
+def finding_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Table fragments that back the findings on the orders of each customer."""
+    return integrity.evidence(integrity.analyze(_snapshots(spark, d))).select("doc_id", "folder", "table_number", "file")
+
+
+@query(
+    """select event_id as no, strftime(ts, '%H:%M:%S') as time, event_type as event, user_id || '/0' as calls, 'EUR ' || printf('%.2f', value) as spend, printf('%.1fs', event_id % 100 / 10.0) as elapsed, 0::bigint as thinking, null::varchar as message from events where event_type is not null"""
+)
+def journal_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type is not null").select(F.col("event_id").alias("sequence"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").alias("requests"), F.col("value").alias("spent"), (F.col("event_id") % 100 / 10).alias("elapsed_seconds"))
+    return journal.event_rows(e, "EUR ").select("no", "time", "event", "calls", "spend", "elapsed", "thinking", "message")

@@ -23,6 +23,23 @@ def fold(events: DataFrame, key: str = "run_id", order: str = "sequence", column
     return events.groupBy(key).agg(F.max(order).alias(f"last_{order}"), F.count(F.lit(1)).alias("n_events"), *latest)
 
 
+def event_rows(events: DataFrame, currency: str = "") -> DataFrame:
+    """Journal events as the 18 columns of a table to look at; what an event doesn't carry is blank, counters are zero.
+
+    Columns that ``events`` lacks count as absent. Amounts have two digits, seconds one.
+    """
+    has = {c: F.col(c) for c in events.columns}
+    get = lambda c, kind="string": has.get(c, F.lit(None)).cast(kind)
+    number = lambda c, kind="long": F.coalesce(get(c, kind), F.lit(0).cast(kind))
+    money = lambda c: F.concat(F.lit(currency), F.format_string("%.2f", number(c, "double")))
+    return events.select(
+        get("sequence", "long").alias("no"), F.substring(get("timestamp"), 12, 8).alias("time"), get("event").alias("event"), get("candidate_id").alias("candidate"), get("stage").alias("stage"), get("attempt", "long").alias("attempt"),
+        F.concat_ws("/", number("requests"), number("requests_limit")).alias("calls"), number("diagram_requests").alias("diagram_passes"), get("evidence_count", "long").alias("evidence_files"), get("request_tokens", "long").alias("request_tokens"),
+        get("response_status").alias("response"), get("error_type").alias("error"), number("total_tokens").alias("total_tokens"), number("thought_tokens").alias("thinking"), money("spent").alias("spend"), money("remaining").alias("remaining"),
+        F.format_string("%.1fs", number("elapsed_seconds", "double")).alias("elapsed"), get("message").alias("message"),
+    )
+
+
 def windowed(events: DataFrame, time: str, late: str, width: str, *keys: str) -> DataFrame:
     """Counts by event-time window with a watermark: an extension, as the journal's own order is its sequence."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n_events"))

@@ -97,6 +97,14 @@ def test_manifest_and_evaluation(tmp_path):
     assert runs.preview("abc", 2) == ("ab", True)
 
 
+def test_json_is_read_back_and_page_pictures_go(spark, tmp_path):
+    runs.write_json(tmp_path / "a.json", {"x": ["é", None]})
+    assert runs.read_json(tmp_path / "a.json") == {"x": ["é", None]}
+    files = spark.createDataFrame([("r/assets/page_1.png", 5), ("r/assets/picture_1.png", 7), ("r/page_1.png", 9), ("assets/page_2.png", 2)], "path string, length long")
+    kept, gone = runs.without_page_images(files)
+    assert sorted(r.path for r in kept.collect()) == ["r/assets/picture_1.png", "r/page_1.png"] and tuple(gone.first()) == (2, 7)
+
+
 def test_page_metric(spark):
     df = spark.createDataFrame([(".docx", None), (".docx", 3), (".pdf", 0)], "extension string, n_pages int")
     assert [r.pages_shown for r in runs.page_metric(df).collect()] == ["Unavailable", "3", "0"]
