@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,13 +198,22 @@ def _tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_useful_ocr_line(line: Column) -> Column:
     compact = F.regexp_replace(line, r"\s+", "")
-    tokens = _tokens(line)
-    words = F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), F.lower)
-    residue = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(RESIDUE))
-    enough = (F.length(compact) >= 2) & (F.size(tokens) > 0) & ~residue & ~F.lower(compact).isin("an", "oo")
-    return enough & (F.exists(tokens, lambda t: F.length(t) >= 3) | compact.rlike("^[A-Z0-9]{2,5}$"))
+
+    def test(s: Column) -> Column:
+        c, n, words = s["c"], s["n"], s["w"]
+        residue = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(RESIDUE))
+        return (F.length(c) >= 2) & (n > 0) & ~residue & ~F.lower(c).isin("an", "oo") & ((F.size(words) > 0) | c.rlike("^[A-Z0-9]{2,5}$"))
+
+    tokens = lambda t: F.struct(compact.alias("c"), F.size(t).alias("n"), F.transform(F.filter(t, lambda x: F.length(x) >= 3), F.lower).alias("w"))
+    # most lines that are useless have no letter or digit, and need no tokens
+    return F.when(line.rlike("[A-Za-z0-9]"), with_value(with_value(_tokens(line), tokens), test)).otherwise(F.when(line.isNotNull(), F.lit(False)))
 
 
 def clean_ocr(text: Column) -> Column:
@@ -211,13 +222,12 @@ def clean_ocr(text: Column) -> Column:
 
 
 def has_useful_ocr(text: Column) -> Column:
-    tokens = _tokens(text)
-    long = F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), F.lower)
-    short = F.size(tokens) - F.size(long)
-    return (
-        (F.length(F.regexp_replace(text, r"\s+", "")) >= 12)
-        & (F.size(long) >= 2)
-        & (F.size(F.array_distinct(long)) >= 2)
-        & F.exists(tokens, lambda t: F.length(t) >= 5)
-        & (short <= F.size(long) * 1.5)
-    )
+    long_enough = F.length(F.regexp_replace(text, r"\s+", "")) >= 12
+
+    def test(t: Column) -> Column:
+        return with_value(
+            F.transform(F.filter(t, lambda x: F.length(x) >= 3), F.lower),
+            lambda long: (F.size(long) >= 2) & (F.size(F.array_distinct(long)) >= 2) & F.exists(t, lambda x: F.length(x) >= 5) & (F.size(t) - F.size(long) <= F.size(long) * 1.5),
+        )
+
+    return long_enough & with_value(_tokens(text), test)

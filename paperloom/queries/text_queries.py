@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import lines as L
+from ..operators.chunks import once
 from .registry import query, table
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
@@ -117,9 +118,8 @@ _RESIDUE = ", ".join(f"'{w}'" for w in text.RESIDUE)
 )
 def ocr_quality_filter(spark: SparkSession, d: str) -> DataFrame:
     line = text.strip(F.regexp_replace("line", r"\s+", " "))
-    lines = L.to_lines(table(spark, d, "documents")).select("doc_id", line.alias("line"))
-    useful = text.is_useful_ocr_line(F.col("line"))
-    return lines.groupBy("doc_id").agg(F.count_if(useful).alias("useful_lines"), F.count_if(useful & text.has_useful_ocr(F.col("line"))).alias("useful_texts"))
+    lines = once(L.to_lines(table(spark, d, "documents")).select("doc_id", line.alias("line")), useful=text.is_useful_ocr_line(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count_if("useful").alias("useful_lines"), F.count_if(F.col("useful") & text.has_useful_ocr(F.col("line"))).alias("useful_texts"))
 
 
 @query("select p_partkey, case when p_size * 60 * (p_partkey % 900 + 1) >= 35000 and least(p_size * 60, p_partkey % 900 + 1) >= 50 then true else false end as qualifies from part")
