@@ -186,8 +186,8 @@ def row_parse_unescape(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""with b as (select page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) h from pages),
     l as (select page_id, unnest(['![a](p' || page_id || '.png)', h, '![b](p' || page_id || '.png)']) line, unnest([0, 1, 2]) n from b)
-    select page_id, md5(string_agg(line || (case when n = 0 and page_id % 2 = 0 then chr(10) || '> **Picture text** (document, trust medium)' || chr(10) || '> label ' || page_id else '' end), chr(10) order by n)
-      || (case when page_id % 2 = 1 then chr(10) || '## Extracted Image Text' || chr(10) || '> **Picture text** (document, trust medium)' || chr(10) || '> label ' || page_id else '' end)) as markdown_md5 from l group by page_id"""
+    select page_id, md5(string_agg(line || (case when n = 0 and page_id % 2 = 0 then chr(10) || chr(10) || '> **Picture text** (document, trust medium)' || chr(10) || '> label ' || page_id else '' end), chr(10) order by n)
+      || (case when page_id % 2 = 1 then chr(10) || chr(10) || '## Extracted Image Text' || chr(10) || chr(10) || '> **Picture text** (document, trust medium)' || chr(10) || '> label ' || page_id else '' end)) as markdown_md5 from l group by page_id"""
 )
 def inject_after_first_match(spark: SparkSession, d: str) -> DataFrame:
     """Picture texts put after the first image line of their file; odd pages' files are not there."""

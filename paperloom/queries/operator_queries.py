@@ -534,3 +534,39 @@ def finding_evidence(spark: SparkSession, d: str) -> DataFrame:
 def journal_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type is not null").select(F.col("event_id").alias("sequence"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").alias("requests"), F.col("value").alias("spent"), (F.col("event_id") % 100 / 10).alias("elapsed_seconds"))
     return journal.event_rows(e, "EUR ").select("no", "time", "event", "calls", "spend", "elapsed", "thinking", "message")
+
+
+@query(
+    """with recursive o as (select o_custkey c, o_orderkey k, row_number() over (partition by o_custkey order by o_orderkey) - 1 i from orders), p as (select *, lead(k) over w nk from o window w as (partition by c order by k)),
+    q as (select *, coalesce(k % 4 = nk % 4 and k % 5 <> 0 and nk % 7 <> 0, false) f from p), r as (select c, i, k, nk, f fires, false gone from q where i = 0
+      union all select q.c, q.i, q.k, q.nk, q.f and not r.fires, r.fires from r join q on q.c = r.c and q.i = r.i + 1),
+    t as (select *, case when k % 3 = 0 then '_' else '' end x, case when nk % 3 = 0 then '_' else '' end y from r where not gone)
+    select c as doc_id, i::int as table_idx, fires as merged, 'a' || k || '/b;c' || k || x || case when not fires then '/d' when x = '_' then 'a' || nk || '/d b;c' || nk || y || '/d' else '/d;a' || nk || '/b;c' || nk || y || '/d' end as rows from t"""
+)
+def continued_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as pipe tables on pages of their own: those of one kind that touch the page break become one."""
+    w = scans.ordered("o_custkey", "o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"), (F.row_number().over(w) - 1).alias("table_idx"))
+    k = F.col("k")
+    kind = _pick(k % 4, F.lit("Key of the first"), F.lit("Column two"), F.lit("A third one"), F.lit("x"))
+    rows = F.array(F.array(F.concat(F.lit("a"), k), F.lit("b")), F.array(F.concat(F.lit("c"), k, F.when(k % 3 == 0, "_").otherwise("")), F.lit("d")))
+    t = o.select("doc_id", "table_idx", F.array(kind, F.lit("Value")).alias("header"), rows.alias("rows"), (F.col("table_idx") + 1).alias("page"), F.when(k % 7 == 0, 400.0).otherwise(790.0).alias("top"), F.when(k % 5 == 0, 300.0).otherwise(20.0).alias("bottom"), F.lit(800.0).alias("page_height"))
+    return L.merge_continued_tables(t).select("doc_id", "table_idx", "merged", F.array_join(F.transform("rows", lambda r: F.array_join(r, "/")), ";").alias("rows"))
+
+
+@query("""select doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') as cache_key from documents""")
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", review.cache_key(F.col("doc_id"), F.col("lang")).alias("cache_key"))
+
+
+@query("select p_partkey, case when p_size % 4 = 0 or p_partkey % 5 = 0 then 'unresolved' when p_size % 4 <= p_partkey % 5 then 'verified' else 'partial' end as status from part")
+def result_states(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of a part and how many of them are verified."""
+    n = F.col("p_size") % 4
+    return table(spark, d, "part").select("p_partkey", review.result_status(n, F.least(n, F.col("p_partkey") % 5)).alias("status"))
+
+
+@query("select source || '/' || doc_id || '.md' as path, strlen(text)::bigint as size_bytes from documents")
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return files.inventory(docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.octet_length("text").cast("long").alias("length")))
