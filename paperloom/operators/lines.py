@@ -183,8 +183,8 @@ def merge_continued_tables(tables: DataFrame) -> DataFrame:
     near = (F.size("header") == F.size("_n.header")) & (F.col("_n.page") - F.col("page")).between(1, 2) & short
     near = near & (F.col("bottom") <= BOTTOM * F.col("page_height")) & (F.col("_n.top") >= TOP * F.col("_n.page_height"))
     df = df.withColumn("_near", F.coalesce(near, F.lit(False)))
-    some = df.where("_near").withColumn("_flag", (head == other) | (ratio(head, other) >= SIMILAR)).select("doc_id", "table_idx", "_flag")
-    df = df.join(some, ["doc_id", "table_idx"], "left").withColumn("_flag", F.coalesce("_flag", F.lit(False)))
+    some = df.where(F.col("_near") & (head != other)).withColumn("_flag", ratio(head, other) >= SIMILAR).select("doc_id", "table_idx", "_flag")
+    df = df.join(some, ["doc_id", "table_idx"], "left").withColumn("_flag", F.col("_near") & F.coalesce("_flag", head == other))
     df = scans.odd_in_run(df, "_flag", ["doc_id"], ["table_idx"])
     taken = F.coalesce(F.lag("fires").over(w), F.lit(False))
     left, right = F.element_at("rows", -1), F.get(F.col("_n.rows"), F.lit(0))
