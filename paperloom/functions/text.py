@@ -20,8 +20,8 @@ MAX_LEVEL = 6
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end (``trim`` knows spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at either end (``trim`` knows spaces only): the characters that ``\\s`` matches, without a pattern."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def casefold(c: Column) -> Column:

@@ -40,7 +40,8 @@ def split_words(df: DataFrame, column: str, prefix: Column | None = None, limit:
     cut = F.transform(F.sequence(F.lit(0), F.col("segment_count") - 1), lambda i: text.strip(F.array_join(F.slice("_u", i * F.col("_cap") + 1, F.col("_cap")), "")))
     segments = F.when(F.col("_u").isNull(), F.array(text.strip(F.col(column)))).otherwise(cut)
     df = df.select("*", F.posexplode(segments).alias("segment_index", "segment"))
-    return df.withColumn("token_count", text.word_count(F.col("segment")) + F.lit(limit) - F.col("_cap")).drop("_n", "_cap", "_u")
+    words = F.when(F.col("_u").isNull(), F.col("_n")).otherwise(text.word_count(F.col("segment")))
+    return df.withColumn("token_count", words + F.lit(limit) - F.col("_cap")).drop("_n", "_cap", "_u")
 
 
 def greedy_starts(units: Column, limit: Column) -> Column:
@@ -83,7 +84,8 @@ def pack_sentences(df: DataFrame, column: str, limit: int = MAX_TOKENS, prefix:
     df = once(df, _at=greedy_starts(F.col("_u"), F.col("_room")))
     joined = sliced(F.col("_u"), F.col("_at"), lambda own: text.strip(F.array_join(F.transform(own, lambda u: F.concat(u["u"], F.when(u["stop"], " ").otherwise(""))), "")))
     out = df.select("*", F.posexplode(F.when(F.col("_u").isNull(), F.array(t)).otherwise(joined)).alias("piece_index", "piece"))
-    return out.withColumn("token_count", text.word_count(F.col("piece")) + F.lit(limit) - F.col("_room")).drop("_room", "_n", "_x", "_u", "_at")
+    words = F.when(F.col("_u").isNull(), F.col("_n")).otherwise(text.word_count(F.col("piece")))
+    return out.withColumn("token_count", words + F.lit(limit) - F.col("_room")).drop("_room", "_n", "_x", "_u", "_at")
 
 
 def pair_labels(blocks: DataFrame, order: list[str] | None = None) -> DataFrame:
