@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -29,6 +30,45 @@ def test_bpe_ids_are_those_of_the_library():
         assert codec.decode(np.array(ids, "<u4").tobytes()) == t.encode()
 
 
+def lines_run(work):
+    """Lines of Python that ``work`` runs, loops in one line counted each time: steps instead of seconds."""
+    n, before = 0, sys.gettrace()
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        work()
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_bpe_takes_few_steps_for_words_new_and_known():
+    from public_tokenizers import PATTERN
+
+    r = random.Random(7)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(11)) for _ in range(400)]
+    codec = op7_bpe.Codec(vocabulary(op7_bpe.VOCABULARY), PATTERN)
+    assert lines_run(lambda: codec.ids_bytes(" ".join(words))) < 200 * len(words)  # 105 each; by the tree and two passes 620
+    known = " ".join(words[1:] * 20)
+    assert lines_run(lambda: codec.ids_bytes(known + " Zetaoinshr")) < len(known.split()) / 4  # a new word: the rest isn't looked up again
+
+
+def test_bpe_of_short_and_long_pieces_is_the_same():
+    ranks = op7_bpe.load_ranks(vocabulary(op7_bpe.VOCABULARY))
+    r = random.Random(5)
+    for n in [*range(2, 20), op7_bpe.SHORT, op7_bpe.SHORT + 1, 130]:
+        for of in (b"a", b"ab", b"etaoin", " é漢🙂".encode(), bytes(range(256)), b" \n"):
+            piece = bytes(r.choice(of) for _ in range(n))
+            ids = op7_bpe.by_scan(piece, ranks)
+            assert ids == op7_bpe.by_tree(piece, ranks)
+            assert op7_bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else ids)
+
+
 def test_long_texts_are_counted_and_encoded_bit_by_bit(monkeypatch):
     from public_tokenizers import PATTERN
 
