@@ -15,13 +15,14 @@ that runs again gives the same rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,27 @@ from .common import as_bytes, ship, spread, table, vocabulary
 VOCABULARY, END = "word_bpe_49k.json", 1
 WINDOW, UNIT, DEPTH = 2048, 64, 4
 CHUNK = 1 << 21
+#: Bytes of text that are cut into words and looked up in one go; a longer text goes by itself.
+AT_ONCE = 1 << 20
 #: The vocabulary lowers case itself; lowered early, fewer distinct words are looked up. Its special tokens hold "<|" and are left alone.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ALNUM = np.array([bytes([i]).isalnum() for i in range(256)])  # of bytes: ASCII only
+#: Lower-case letters of Latin-1 in UTF-8: the vocabulary leaves such a word as it is and in one part.
+_LETTERS = re.compile(rb"[a-z]*(?:\xc3[\x9f-\xb6\xb8-\xbf][a-z]*)*").fullmatch
 #: A special token of the vocabulary: text on its sides is tokenized apart.
 _BETWEEN = b"<|startoftext|>"
+#: What the last token of a word ends in.
+_LAST = "</w>"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Rows(dict):
-    """Numbers words as they come; ``new`` has those that came since it was last emptied."""
+    """Numbers words as they come, the empty one 0; ``new`` has those that came since it was last emptied."""
 
     def __init__(self) -> None:
         self.new: list[bytes] = []
+        self[b""] = 0
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -50,95 +59,138 @@ class _Rows(dict):
         return n
 
 
+def _all_ids(tokenizer, parts: list[bytes]) -> np.ndarray:
+    """Ids of the parts, one after the other."""
+    found = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+    return np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+
+
+def _offsets(a: pa.Array) -> np.ndarray:
+    """Where the values of a large binary or string array begin and end."""
+    return np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+
+
+def _bytes(a: pa.Array) -> memoryview:
+    return memoryview(a.buffers()[2] or b"")
+
+
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    """A large binary array over the buffers given."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+
+
 class Ids:
-    """Token ids of whole texts. Words are cut at ASCII white space, which no token of this vocabulary spans, and kept in a table emptied at ``most`` words."""
+    """Token ids of whole texts.
+
+    Words are cut at ASCII white space, which no token of this vocabulary spans, and only the distinct ones of AT_ONCE bytes
+    are looked up in a table, emptied at ``most`` words. A word that ends in ASCII punctuation after an ASCII letter or
+    digit is looked up as its two parts, which the vocabulary never merges.
+    """
 
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)  # for words that need no normalizing and no cutting
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        known = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(known.values()) + 1, bool)
+        self.last[[i for t, i in known.items() if t.endswith(_LAST)]] = True
         self.most = most
         self.reset()
 
     def reset(self) -> None:
         self.row = _Rows()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start = np.empty(1 << 16, np.int64)
-        self.size = np.empty(1 << 16, np.int64)
-        self.end = 0
+        self.stop = np.zeros(1 << 16, np.int64)  # in bytes: row r is from stop[r] to stop[r + 1]
 
     def _learn(self) -> None:
-        """Ids of the new words. One that ends in ASCII punctuation after an ASCII letter or digit is its two parts, which the vocabulary never merges."""
-        row, new = self.row, self.row.new
-        first = len(row) - len(new)
-        plain, own, odd, odd_own, joined, left, right = [], [], [], [], [], [], []
-        for i, w in enumerate(new):  # grows by the parts
-            if b"<|" in w:  # may hold a special token
-                odd.append(w.decode("utf-8", "replace"))
-                odd_own.append(first + i)
-                continue
-            if w[-1] in _PUNCTUATION:
-                base = w.rstrip(_PUNCTUATION)
-                if base[-1:].isalnum():  # of bytes: ASCII only
-                    joined.append(first + i)
-                    left.append(row[base])
-                    right.append(row[w[len(base) :]])
-                    continue
-            plain.append(w)
-            own.append(first + i)
-        while len(row) > len(self.start):
-            self.start = np.concatenate([self.start, np.empty_like(self.start)])
-            self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        if plain:
-            self._append(own, *self._encode(plain))
-        if odd:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._append(odd_own, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
-        if joined:
-            pairs = np.array([left, right], np.int64).T.ravel()
-            self._append(joined, self.size[pairs].reshape(-1, 2).sum(axis=1), self._gather(pairs))
+        """Ids of the new words, in their order."""
+        new = self.row.new
+        first = len(self.row) - len(new)
+        letters, others, odd = [], [], []
+        for i, w in enumerate(new):
+            (letters if _LETTERS(w) else odd if b"<|" in w else others).append(i)  # odd: may hold a special token
+        kinds = ((self._merged, letters), (self._apart, others), (self._whole, odd))
+        sizes, ids = map(np.concatenate, zip(*(encode([new[i] for i in own]) for encode, own in kinds)))
+        order = np.argsort(np.array(letters + others + odd))
+        found = _binary(np.concatenate([[0], 4 * np.cumsum(sizes)]), ids).take(pa.array(order))
+        at = int(self.stop[first])
+        stop = at + _offsets(found)
+        while len(self.row) >= len(self.stop):
+            self.stop = np.concatenate([self.stop, np.empty_like(self.stop)])
+        while stop[-1] > 4 * len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.stop[first : first + len(stop)] = stop
+        self.flat[at // 4 : stop[-1] // 4] = np.frombuffer(_bytes(found), np.uint32, len(ids))
         new.clear()
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words of small letters: many to a call, each up to a token that ends a word."""
+        ids = _all_ids(self.merges, [b" ".join(words[i : i + 128]) for i in range(0, len(words), 128)])
+        return np.diff(np.flatnonzero(self.last[ids]), prepend=-1), ids
+
+    def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words without special tokens: many to a call, with such a token between them."""
-        parts = [_BETWEEN.join(words[i : i + 128]).decode("utf-8", "replace") for i in range(0, len(words), 128)]
-        between = self.tokenizer.token_to_id(_BETWEEN.decode())
-        ids = np.concatenate([np.array([*e.ids, between], np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == between)
-        return np.diff(ends, prepend=-1) - 1, ids[ids != between]
-
-    def _append(self, rows: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
-        while self.end + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.size[rows] = sizes
-        self.start[rows] = self.end + np.cumsum(sizes) - sizes
-        self.flat[self.end : self.end + len(ids)] = ids
-        self.end += len(ids)
-
-    def _gather(self, rows: np.ndarray, more: int = 0) -> np.ndarray:
-        """Ids of words one after the other, and room for ``more``."""
-        size = self.size[rows]
-        before = np.cumsum(size) - size
-        total = int(size.sum())
-        out = np.empty(total + more, np.uint32)
-        out[:total] = self.flat[np.repeat(self.start[rows] - before, size) + np.arange(total)]
+        ids = _all_ids(self.tokenizer, [_BETWEEN.join([*words[i : i + 128], b""]) for i in range(0, len(words), 128)])
+        between = ids == self.tokenizer.token_to_id(_BETWEEN.decode())
+        return np.diff(np.flatnonzero(between), prepend=-1) - 1, ids[~between]
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that may hold special tokens."""
+        found = [_all_ids(self.tokenizer, [w]) for w in words]
+        return np.array([*map(len, found)], np.int64), np.concatenate([np.empty(0, np.uint32), *found])
+
+    def _rows(self, words: pa.Array, special: bool) -> np.ndarray:
+        """Two rows of the table for each word, the second 0 where it is not cut."""
+        begin = _offsets(words)
+        begin, end = begin[:-1], begin[1:]
+        data = bytes(_bytes(words)) + b" "
+        cut = begin + np.diff(_offsets(pc.ascii_rtrim(words, _PUNCTUATION)))
+        joined = (cut > begin) & (cut < end) & _ALNUM[np.frombuffer(data, np.uint8)[cut - 1]]
+        if special:
+            joined &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        cut = np.where(joined, cut, end)
+        look = self.row.__getitem__
+        out = np.zeros((len(words), 2), np.int64)
+        out[:, 0] = np.fromiter((look(data[i:j]) for i, j in zip(begin.tolist(), cut.tolist())), np.int64, len(words))
+        out[joined, 1] = [look(data[i:j]) for i, j in zip(cut[joined].tolist(), end[joined].tolist())]
+        if self.row.new:
+            self._learn()
         return out
 
+    def _texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        special = [b"<|" in t for t in texts]
+        small = [t if s else t.translate(_LOWER) for t, s in zip(texts, special)]
+        words = pc.ascii_split_whitespace(pa.array(small, pa.large_binary()).view(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary, any(special))
+        halves = _binary(self.stop[: len(self.row) + 1], self.flat).take(pa.array(rows.ravel()))
+        ids = _binary(_offsets(halves)[::2], _bytes(halves)).take(coded.indices)
+        ends = _offsets(ids)[words.offsets.to_numpy()] // 4
+        ids = np.frombuffer(_bytes(ids), np.uint32, int(ends[-1]))
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            out = np.empty(j - i + 1, np.uint32)
+            out[:-1] = ids[i:j]
+            out[-1] = END
+            yield out
+
     def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end token."""
-        for i in range(0, len(texts), 256):
-            if len(self.row) > self.most:
-                self.reset()
-            words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts[i : i + 256]]
-            rows = [np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws)) for ws in words]
-            if self.row.new:
-                self._learn()
-            for own in rows:
-                out = self._gather(own, 1)
-                out[-1] = END
-                yield out
+        first = held = 0
+        for i, t in enumerate(texts):
+            if held and held + len(t) > AT_ONCE:
+                yield from self._bounded(texts[first:i])
+                first, held = i, 0
+            held += len(t)
+        if first < len(texts):
+            yield from self._bounded(texts[first:])
+
+    def _bounded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self.row) > self.most:
+            self.reset()
+        return self._texts(texts)
 
 
 @lru_cache(2)

@@ -130,6 +130,41 @@ def test_packing_ids_of_short_texts_with_control_characters():
         assert own.tolist() == [*known, 1], t
 
 
+def test_packing_looks_distinct_words_up_and_spares_letters_the_rules():
+    from tokenizers import Tokenizer
+
+    path = vocabulary(op6_packing.VOCABULARY)
+    library, ids = Tokenizer.from_file(path), op6_packing.Ids(path)
+    asked = []
+
+    class Asked:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    ids.tokenizer = Asked()
+    texts = ["Plain größer. PLAIN, plain... ", "", " \n", "\u00a0", "a1 ÷ ×é É <|endoftext|>x. Plain", *["señor ÿß plain.\t"] * 300]
+    for t, own in zip(texts, ids.batch([t.encode() for t in texts])):
+        assert own.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+    seen = " ".join(asked)
+    assert "a1" in seen and not any(w in seen for w in ("plain", "größer", "señor", "ÿß"))
+    assert "plain" not in {w.decode().rstrip(".,") for w in ids.row if w.endswith((b".", b","))}  # its two parts alone are kept
+    for t in (b"caf\xc3. \xc3\xc3\xa9 \xe2\x82", b"\xff a\xc3 b. \xc3\xa0\xa0"):
+        assert next(ids.batch([t])).tolist() == [*library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 1]
+
+
+def test_packing_ids_do_not_depend_on_how_much_is_looked_up_at_once(monkeypatch):
+    path = vocabulary(op6_packing.VOCABULARY)
+    texts = [t.encode() for t in mixed_texts(200, 9)]
+    want = [own.tolist() for own in op6_packing.Ids(path).batch(texts)]
+    monkeypatch.setattr(op6_packing, "AT_ONCE", 500)
+    assert [own.tolist() for own in op6_packing.Ids(path, most=50).batch(texts)] == want
+    assert [*op6_packing.Ids(path).batch([])] == []
+
+
 def test_packing_cuts_every_document_once(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
