@@ -79,7 +79,7 @@ def normalize_sentence(c: Column) -> Column:
 
 def numbered_heading(c: Column) -> Column:
     """Markdown heading of a numbered title, its level one more than its number's parts; null for anything else."""
-    at = r"^(\d+(?:[.]\d+)*)([.]?)\s+(.+)$"
+    at = r"(?d)^(\d+(?:[.]\d+)*)([.]?)\s+(.+)$"  # (?d): only a line feed ends a line
     number = F.regexp_extract(c, at, 1)
     level = F.least(F.size(F.split(number, r"\.")) + 1, F.lit(MAX_LEVEL))
     text = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), number, F.regexp_extract(c, at, 2), F.lit(" "), strip(F.regexp_extract(c, at, 3)))

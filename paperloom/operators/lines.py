@@ -62,7 +62,7 @@ def clean_headings(lines: DataFrame, levels: DataFrame | None = None, furniture_
     Order of the rules: empty, page furniture, start of a source-code item (inside fences as well), a title beginning
     with "of", fused numbers, numbered title, field label, sentence, the document's own level, the hashes (6 at most).
     """
-    h = r"^(\#{1,10})\s+(.*)"
+    h = r"(?d)^(\#{1,10})\s+(.*)"  # (?d): only a line feed ends a line, so that no title is cut at another mark
     df = with_fences(lines).withColumn("_is", F.col("line").rlike(h))
     df = df.withColumn("_t", text.strip(F.regexp_extract("line", h, 2))).withColumn("_sig", F.when(F.col("_is"), text.text_signature(F.col("_t"))))
     if levels is not None:

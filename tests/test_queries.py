@@ -12,6 +12,15 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, name):
     assert comparable(QUERIES[name](spark, sf).toPandas()) == comparable(oracle_rows(ORACLES[name], sf))
 
 
+def test_titles_that_an_earlier_rule_would_take_follow_the_sql(spark, tmp_path):
+    """Titles of every shape that begin with "of" or a number, are labels or dates, are missing, twice there or hold other line marks."""
+    titles = ["Plain", "Of the things", "Of all these words, five.", "12 angry men", "1.2Title", "1.2 One 3.4 Two", "2024-01-05", "Status:", "", " lead and trail ", "\ttab", "\tOf five - words with tab.", "a\rb", "a\u2028b", "ends in x"]
+    rows = [(i * 5 + k, f"<h1>{t}</h1>") for i, t in enumerate(titles) for k in range(5)] + [(4, "<h1>Of a twin</h1>"), (9, "no title"), (1, None), (None, "<h1>Of no page</h1>"), (-4, "<h1>Of a page below zero</h1>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    want = oracle_rows(ORACLES["heading_clean_lines"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"), "/root/testdata/sf0.001")
+    assert comparable(QUERIES["heading_clean_lines"](spark, str(tmp_path)).toPandas()) == comparable(want)
+
+
 def test_similarity_matches_the_standard_library(spark, sf):
     from difflib import SequenceMatcher
 
